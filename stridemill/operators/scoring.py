@@ -91,6 +91,20 @@ def unit_terms(terms: DataFrame, key: str) -> DataFrame:
     return terms.join(norms, key).select(key, "token", (F.col("c") / F.col("_n")).alias("w"))
 
 
+def pair_cosine(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """Bag-of-words cosine of two texts in the same row; 0 when either has no token."""
+    def side(text: str, i: int) -> DataFrame:
+        return pairs.select(*keys, F.explode_outer(tokenize(F.col(text))).alias("token"), F.lit(i).alias("side"))
+
+    counted = side(left, 0).unionByName(side(right, 1)).groupBy(*keys, "token").agg(
+        F.count(F.when(F.col("token").isNotNull() & (F.col("side") == 0), 1)).cast("double").alias("a"),
+        F.count(F.when(F.col("token").isNotNull() & (F.col("side") == 1), 1)).cast("double").alias("b"),
+    )
+    length = F.sqrt(F.sum(F.col("a") * F.col("a"))) * F.sqrt(F.sum(F.col("b") * F.col("b")))
+    return counted.groupBy(*keys).agg(
+        F.coalesce(F.try_divide(F.sum(F.col("a") * F.col("b")), length), F.lit(0.0)).alias("cosine"))
+
+
 def skill_terms(skills: DataFrame) -> DataFrame:
     return unit_terms(term_counts(skills.select("pos", skill_text().alias("_t")), ["pos"], F.col("_t")), "pos")
 
@@ -151,7 +165,8 @@ SCORED = [
 
 
 def _ranked(scored: DataFrame, keys: list[str], k: int, level_top_k: dict[str, int] | None) -> DataFrame:
-    order = [F.desc("score"), F.asc("pos")]
+    # scores equal to nine digits tie, so that summation order cannot decide a rank
+    order = [F.desc(F.round("score", 9)), F.asc("pos")]
     if not level_top_k:
         return top_rows(scored, keys, order, k)
     limits = {name: n for name, n in level_top_k.items() if n > 0}

@@ -12,8 +12,6 @@ from stridemill.operators.scoring import blocks, skill_terms, sparse_sims, term_
 from stridemill.operators.traces import task_texts
 from stridemill.scale import checkpoint, global_rank, lookup_join, top_rows
 
-OFFLINE_PUE = dict(use_cost=True, use_recent=True, use_similarity=True)
-
 
 def split_tasks(tasks: DataFrame, future_ratio: float, order: list[str]) -> DataFrame:
     """Add ``task_pos`` (overall order) and ``future`` (bool); the cut rounds half to even, 1..n-1."""
@@ -157,11 +155,12 @@ def selector_scores(grid: DataFrame, names: list[str] | None = None) -> DataFram
     for name in names:
         if ALIASES.get(name, name) not in SELECTORS:
             raise ValueError(f"unknown selector: {name}")
+    # cells equal to twelve digits tie, so that summation order cannot decide a rank
     entries = F.array(*[
-        F.struct(F.lit(n).alias("selector"), SELECTORS[ALIASES.get(n, n)]().alias("score")) for n in names
+        F.struct(F.lit(n).alias("selector"), F.round(SELECTORS[ALIASES.get(n, n)](), 12).alias("score")) for n in names
     ])
     return grid.select(
-        "task_id", "task_pos", "pos", "skill_id", future_utility().alias("utility"),
+        "task_id", "task_pos", "pos", "skill_id", F.round(future_utility(), 12).alias("utility"),
         F.col("token_cost").cast("double").alias("token_cost"), F.inline(entries),
     )
 
