@@ -325,16 +325,10 @@ def streamed_context(spark: SparkSession, sf: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     steps = fx.steps(spark, sf).select("task_id", "t", "env", "goal", "action", "observation")
     steps.write.parquet(f"{folder}/in")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        arriving = spark.readStream.schema(steps.schema).parquet(f"{folder}/in")
-        stream = stream_states(arriving).writeStream.format("parquet").option("path", f"{folder}/out").option(
-            "checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
-        stream.awaitTermination()
-    finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    arriving = spark.readStream.schema(steps.schema).parquet(f"{folder}/in")
+    stream = stream_states(arriving, idle_ms=None).writeStream.format("parquet").option("path", f"{folder}/out").option(
+        "checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
+    stream.awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
     return out.select("task_id", "t", "env", "goal", "observation", F.concat_ws("|", "recent_actions").alias("recent"))
 

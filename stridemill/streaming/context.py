@@ -6,8 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stridemill.operators import scoring
 from stridemill.operators.traces import state_text
@@ -18,41 +18,34 @@ CONTEXT = (
 STATE = "actions array<string>, observation string"
 
 
-class RecentActions(StatefulProcessor):
-    """Keeps the last few actions and the last observation of a task; idle tasks expire."""
-
-    def __init__(self, recent: int = 5, ttl_ms: int = 3_600_000):
-        self.recent, self.ttl_ms = recent, ttl_ms
+def stream_states(steps: DataFrame, recent: int = 5, idle_ms: int | None = 3_600_000) -> DataFrame:
+    """State before each arriving step, the streaming twin of ``task_states``.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("recent", STATE, self.ttl_ms)
+    Kept per task: the last ``recent`` actions and the last observation, for
+    ``idle_ms`` after its latest step (None keeps it, which a run to the end of
+    the available data needs: pending timeouts would keep it going). Steps of a task must not arrive in a
+    later trigger than their successors; inside a trigger they are put in order.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        actions, observation = [], ""
-        if self.state.exists():
-            kept = self.state.get()
-            actions, observation = list(kept[0]), kept[1]
-        arrived = pd.concat(list(rows)).sort_values("t")
+    def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        actions, observation = state.get if state.exists else ([], "")
+        actions = list(actions)
         out = []
-        for row in arrived.itertuples(index=False):
+        for row in pd.concat(list(frames)).sort_values("t").itertuples(index=False):
             out.append((key[0], row.t, row.env, row.goal, observation, list(actions)))
-            actions = (actions + [row.action])[-self.recent:]
+            actions = (actions + [row.action])[-recent:]
             observation = row.observation
-        self.state.update((actions, observation))
+        state.update((actions, observation))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["task_id", "t", "env", "goal", "observation", "recent_actions"])
 
-    def close(self) -> None:
-        pass
-
-
-def stream_states(steps: DataFrame, recent: int = 5, ttl_ms: int = 3_600_000) -> DataFrame:
-    """State before each arriving step, the streaming twin of ``task_states``.
-
-    Steps of a task must arrive in order. Needs the RocksDB state store provider.
-    """
-    return steps.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=RecentActions(recent, ttl_ms), outputStructType=CONTEXT, outputMode="Append",
-        timeMode="ProcessingTime",
+    return steps.groupBy("task_id").applyInPandasWithState(
+        advance, CONTEXT, STATE, "append",
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
