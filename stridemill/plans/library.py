@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from stridemill import schemas
 from stridemill.model import Model, columns_of
 from stridemill.operators import tower
-from stridemill.operators.skills import build_skills, skill_members
+from stridemill.operators.skills import build_skills
 from stridemill.plans import fixtures as fx
-from stridemill.scale import checkpoint
+from stridemill.scale import checkpoint, lookup_join
 
 KINDS = ["QueryFormulation", "CandidateInteraction", "PurchaseDecision"]
 
@@ -47,19 +47,22 @@ def high_heads(rows: DataFrame) -> DataFrame:
 
 
 def build(segs: DataFrame) -> Model:
+    """All levels in one pass: the members of every level feed the same aggregates."""
     rows = clustered(segs)
-    columns = columns_of(schemas.SKILLS)
-    low, low_members = tower.low_skills(rows)
-    total = tower.segment_total(rows)
-    levels, bridges = [low.select(*columns)], [low_members]
-    for heads, key in ((mid_heads(rows), F.col("cluster")), (high_heads(rows), F.floor(F.col("cluster") / 2))):
-        members = rows.withColumn("key", key)
-        levels.append(build_skills(members, heads, total, tower.METHOD).select(*columns))
-        bridges.append(skill_members(members, heads))
-    skills = checkpoint(tower.stacked(levels).select(*columns))
-    bridge = bridges[0].unionByName(bridges[1]).unionByName(bridges[2])
-    high = skills.filter("granularity = 'high'")
-    edges = tower.hierarchy_edges(high)
+    low = checkpoint(tower.low_heads(rows))
+    empty = F.lit(None).cast("array<string>")
+    shared = ["skill_id", "pos", "name", "granularity", "content", "child_skill_ids"]
+    mid, high = mid_heads(rows), high_heads(rows)
+    heads = tower.stacked([
+        low.withColumn("child_skill_ids", empty).select(*shared), mid.withColumn("child_skill_ids", empty).select(*shared),
+        high.select(*shared)]).withColumn("key", F.col("skill_id"))
+    by_template = lookup_join(rows, low.select(F.col("key").alias("template"), F.col("skill_id").alias("key")), ["template"])
+    names = F.array(F.format_string("tower_mid_%03d", "cluster"), F.format_string("tower_high_%03d", F.floor(F.col("cluster") / 2)))
+    members = by_template.unionByName(rows.withColumn("key", F.explode(names)))
+    skills = checkpoint(
+        build_skills(members, heads, tower.segment_total(rows), tower.METHOD).select(*columns_of(schemas.SKILLS)))
+    bridge = members.select(F.col("key").alias("skill_id"), "segment_id", "pos")
+    edges = tower.hierarchy_edges(skills.filter("granularity = 'high'"))
     for name in columns_of(schemas.EDGES):
         if name not in edges.columns:
             edges = edges.withColumn(name, F.lit(None).cast("double"))
