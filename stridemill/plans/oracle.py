@@ -187,6 +187,8 @@ def sql(body: str) -> str:
         return body.strip()
     listed = ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in ordered)
     head = body.strip()
+    if head.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {listed},\n{head[15:]}"
     if head.upper().startswith("WITH "):
         return f"WITH {listed},\n{head[5:]}"
     return f"WITH {listed}\n{head}"

@@ -103,11 +103,11 @@ def retrieve_levels(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found.select("task_id", "level_spot", "rank", "skill_id", "score"))
 
 
-def step_hits(spark: SparkSession, sf: str) -> DataFrame:
+def step_hits(spark: SparkSession, sf: str, skills: DataFrame | None = None) -> DataFrame:
     steps = fx.steps(spark, sf)
     states = traces.task_states(steps)
     asked = states.select("task_id", "t", traces.state_text(states).alias("text"))
-    skills = library.build(traces.segments(steps)).skills
+    skills = skills if skills is not None else library.build(traces.segments(steps)).skills
     found = scoring.retrieve(asked, skills, "pue", ["task_id", "t"], level_top_k=LEVELS)
     return found.withColumnRenamed("level", "granularity")
 
