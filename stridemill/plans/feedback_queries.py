@@ -107,13 +107,13 @@ def refined_edges(spark: SparkSession, sf: str) -> DataFrame:
     return model.edges.select("source", "target", "relation", "weight").unionByName(edges)
 
 
-@query("D8 K6 K7", """WITH RECURSIVE l AS (SELECT src AS a, dst AS b FROM gsim s JOIN gseg x ON x.pos = s.src JOIN gseg y ON y.pos = s.dst WHERE sim >= 0.55 AND x.grp % 2 = y.grp % 2),
+@query("D8 K6 K7", """WITH RECURSIVE l AS (SELECT src AS a, dst AS b FROM gsim s JOIN gseg x ON x.pos = s.src JOIN gseg y ON y.pos = s.dst WHERE sim >= 0.4 AND x.grp % 2 = y.grp % 2),
 walk AS (SELECT DISTINCT a AS id, a AS component FROM l UNION SELECT l.b, w.component FROM walk w JOIN l ON l.a = w.id WHERE w.component < l.b),
 c AS (SELECT id, min(component) AS component FROM walk GROUP BY id)
 SELECT id AS pos, component, dense_rank() OVER (ORDER BY component) - 1 AS merge_index FROM c""")
 def merge_groups(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.graph_segments(spark, sf).select("pos", (F.col("group") % 2).cast("string").alias("granularity"), "vector")
-    return refine.merge_components(rows, 0.55)
+    return refine.merge_components(rows, 0.4)
 
 
 CTES["mmem"] = """
