@@ -47,8 +47,27 @@ def high_heads(rows: DataFrame) -> DataFrame:
 
 
 def build(segs: DataFrame) -> Model:
-    """All levels in one pass: the members of every level feed the same aggregates."""
+    """All levels in one pass: the members of every level feed the same aggregates.
+
+    The narrow segment columns are kept while the five aggregates read them.
+    """
     rows = clustered(segs)
+    narrow = rows.select(
+        "segment_id", "trajectory_id", "pos", "label", "template", "action", "success", "final_reward", "step_reward", "cluster"
+    ).persist()
+    try:
+        skills, bridge = _skills(narrow, rows)
+    finally:
+        narrow.unpersist()
+    edges = tower.hierarchy_edges(skills.filter("granularity = 'high'"))
+    for name in columns_of(schemas.EDGES):
+        if name not in edges.columns:
+            edges = edges.withColumn(name, F.lit(None).cast("double"))
+    nodes = tower.segment_nodes(rows).unionByName(tower.skill_nodes(skills))
+    return Model(skills, bridge, nodes, edges)
+
+
+def _skills(rows: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame]:
     low = checkpoint(tower.low_heads(rows))
     empty = F.lit(None).cast("array<string>")
     shared = ["skill_id", "pos", "name", "granularity", "content", "child_skill_ids"]
@@ -56,18 +75,16 @@ def build(segs: DataFrame) -> Model:
     heads = tower.stacked([
         low.withColumn("child_skill_ids", empty).select(*shared), mid.withColumn("child_skill_ids", empty).select(*shared),
         high.select(*shared)]).withColumn("key", F.col("skill_id"))
-    by_template = lookup_join(rows, low.select(F.col("key").alias("template"), F.col("skill_id").alias("key")), ["template"])
-    names = F.array(F.format_string("tower_mid_%03d", "cluster"), F.format_string("tower_high_%03d", F.floor(F.col("cluster") / 2)))
-    members = by_template.unionByName(rows.withColumn("key", F.explode(names)))
-    skills = checkpoint(
-        build_skills(members, heads, tower.segment_total(rows), tower.METHOD).select(*columns_of(schemas.SKILLS)))
-    bridge = members.select(F.col("key").alias("skill_id"), "segment_id", "pos")
-    edges = tower.hierarchy_edges(skills.filter("granularity = 'high'"))
-    for name in columns_of(schemas.EDGES):
-        if name not in edges.columns:
-            edges = edges.withColumn(name, F.lit(None).cast("double"))
-    nodes = tower.segment_nodes(rows).unionByName(tower.skill_nodes(skills))
-    return Model(skills, bridge, nodes, edges)
+    skills = checkpoint(build_skills(
+        _members(rows, low), heads, tower.segment_total(rows), tower.METHOD).select(*columns_of(schemas.SKILLS)))
+    return skills, _members(source, low).select(F.col("key").alias("skill_id"), "segment_id", "pos")
+
+
+def _members(rows: DataFrame, low: DataFrame) -> DataFrame:
+    ids = low.select(F.col("key").alias("template"), F.col("skill_id").alias("key"))
+    names = F.array(
+        F.format_string("tower_mid_%03d", "cluster"), F.format_string("tower_high_%03d", F.floor(F.col("cluster") / 2)))
+    return lookup_join(rows, ids, ["template"]).unionByName(rows.withColumn("key", F.explode(names)))
 
 
 def of(spark: SparkSession, sf: str) -> Model:
