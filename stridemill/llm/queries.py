@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemill.llm import language, mixing, quality, sharding
+from stridemill.llm import bpe, chat, language, mixing, quality, sharding
 from stridemill.plans.fixtures import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +16,13 @@ ORACLE_SQL: dict[str, str] = {}
 SHARDS = 40
 
 
+def vocabulary() -> tuple[str, str]:
+    """Rank file and pre-token pattern of the installed public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[function.__name__] = function
     return function
@@ -59,3 +66,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_segments(segments(spark, sf_dir, "source")).select(
         F.col("segment_id").alias("doc_id"), F.col("env").alias("source"), "size", "source_size", "target", "rate", "copies", "taken"
     )
+
+
+@query
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = vocabulary()
+    awkward = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", awkward), (-7, 1, "assistant", awkward)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    messages = turns.withColumnsRenamed({"conv_id": "trajectory_id", "turn": "t"})
+    formatted = chat.format_messages(messages, ranks, pattern)
+    return chat.conversation_digests(chat.read_messages(formatted, ranks, pattern)).withColumnRenamed("trajectory_id", "conv_id")
+
+
+@query
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = vocabulary()
+    encoded = bpe.encode_segments(segments(spark, sf_dir), ranks, pattern)
+    return bpe.digests(bpe.decode_segments(encoded, ranks, pattern)).withColumnRenamed("segment_id", "doc_id")
