@@ -74,17 +74,14 @@ def tokenizer(ranks_path: str, pattern: str) -> Tokenizer:
     return Tokenizer(ranks_path, pattern)
 
 
-def stitched(heads: list[np.ndarray], tails: list[np.ndarray]) -> list[int | None]:
-    """Where chunk k takes over from the chunk before it: their first common boundary, or None.
+def first_common(tail: np.ndarray, head: np.ndarray) -> int | None:
+    """Where a chunk takes over from the one before it: the first boundary that both have found, or None.
 
-    ``tails[k]`` are boundaries chunk k found behind its own stretch, ``heads[k]`` those at its front.
-    A piece depends on nothing before it, so from a common boundary on both chunks agree.
+    ``tail`` are boundaries the earlier chunk found behind its own stretch, ``head`` those at the front of
+    the later one. A piece depends on nothing before it, so from a common boundary on both agree.
     """
-    cuts: list[int | None] = [0]
-    for tail, head in zip(tails[:-1], heads[1:], strict=True):
-        common = np.intersect1d(tail, head)
-        cuts.append(int(common[0]) if len(common) else None)
-    return cuts
+    common = np.intersect1d(tail, head)
+    return int(common[0]) if len(common) else None
 
 
 def _long_pieces(texts: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
@@ -105,19 +102,24 @@ def _long_pieces(texts: DataFrame, ranks_path: str, pattern: str, chunk: int, ov
                 # the last piece may go on behind the cut, and white space before it may be split otherwise
                 tail = at[(at >= chunk) & (at < at[-1])] if len(text) > chunk and len(at) else at[:0]
                 tail = tail[[not text[t:].isspace() for t in tail]] if len(tail) else tail
-                rows.append((part * chunk + head, part * chunk + tail))
-            yield pd.DataFrame({"_row": frame["_row"], "part": frame["part"], "head": [h for h, _ in rows], "tail": [t for _, t in rows]})
+                rows.append((part * chunk + head, part * chunk + tail, bool(_SAFE.search(text, 0, chunk))))
+            yield pd.DataFrame({
+                "_row": frame["_row"], "part": frame["part"], "head": [h for h, _, _ in rows],
+                "tail": [t for _, t, _ in rows], "safe": [s for _, _, s in rows],
+            })
 
-    found = chunks.mapInPandas(edges, "_row long, part long, head array<long>, tail array<long>")
+    found = chunks.mapInPandas(edges, "_row long, part long, head array<long>, tail array<long>, safe boolean")
 
     def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail, row, run = None, None, 0
         for frame in frames:
             cuts, runs = [], []
-            for r, part, head, after in zip(frame["_row"], frame["part"], frame["head"], frame["tail"], strict=True):
-                cut = 0 if r != row else stitched([head, head], [tail, after])[1]
+            for r, part, head, after, safe in zip(*[frame[c] for c in ("_row", "part", "head", "tail", "safe")], strict=True):
+                cut = 0 if r != row else first_common(tail, head)
                 if cut is not None:
                     run = part
+                elif not safe:  # nowhere in step with the text before it, so its tail proves nothing
+                    after = after[:0]
                 cuts.append(cut)
                 runs.append(run)
                 row, tail = r, after
