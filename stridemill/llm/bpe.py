@@ -99,9 +99,9 @@ def _long_pieces(texts: DataFrame, ranks_path: str, pattern: str, chunk: int, ov
             for part, text in zip(frame["part"], frame["text"], strict=True):
                 at = np.array(tok.boundaries(text), np.int64)
                 head = at[at < overlap]
-                # the last piece may go on behind the cut, and white space before it may be split otherwise
+                # the last piece may go on behind the cut; white space is split by what follows it, so none may end a part
                 tail = at[(at >= chunk) & (at < at[-1])] if len(text) > chunk and len(at) else at[:0]
-                tail = tail[[not text[t:].isspace() for t in tail]] if len(tail) else tail
+                tail = tail[[not text[t - 1].isspace() for t in tail]] if len(tail) else tail
                 rows.append((part * chunk + head, part * chunk + tail, bool(_SAFE.search(text, 0, chunk))))
             yield pd.DataFrame({
                 "_row": frame["_row"], "part": frame["part"], "head": [h for h, _, _ in rows],
