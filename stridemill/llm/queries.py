@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemill.llm import bpe, chat, language, mixing, quality, sharding
+from stridemill.llm import bpe, chat, jaccard, language, mixing, pii, quality, sharding, vectors
 from stridemill.plans.fixtures import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,32 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = vocabulary()
     encoded = bpe.encode_segments(segments(spark, sf_dir), ranks, pattern)
     return bpe.digests(bpe.decode_segments(encoded, ranks, pattern)).withColumnRenamed("segment_id", "doc_id")
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments(spark, sf_dir)
+    found = pii.find_personal_data(rows, pii.train_tagger(rows))
+    place = {k: i for i, k in enumerate(pii.KINDS)}
+    order = F.create_map(*[F.lit(x) for kv in place.items() for x in kv])
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    every = F.array_sort(F.transform(
+        F.concat("base_spans", "added_spans"),
+        lambda s: F.struct(order[s["kind"]].alias("place"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
+    ))
+    return found.select(
+        F.col("segment_id").alias("doc_id"), *[count(k) for k in pii.KINDS],
+        F.sha2(listed(F.col("base_spans")), 256).alias("base_sha256"), listed(every).alias("spans"),
+    )
+
+
+@query
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_segments(segments(spark, sf_dir)).withColumnRenamed("segment_id", "doc_id")
+
+
+@query
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skills = table(spark, sf_dir, "embeddings").withColumnsRenamed({"vec_id": "skill_id", "label": "granularity"})
+    return vectors.link_skills(skills).withColumnRenamed("skill_id", "vec_id")
