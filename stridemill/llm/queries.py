@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemill.llm import bpe, chat, jaccard, language, mixing, pii, quality, sharding, vectors
+from stridemill.llm import bpe, chat, html, jaccard, language, mixing, pii, quality, sharding, vectors
 from stridemill.plans.fixtures import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,9 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     skills = table(spark, sf_dir, "embeddings").withColumnsRenamed({"vec_id": "skill_id", "label": "granularity"})
     return vectors.link_skills(skills).withColumnRenamed("skill_id", "vec_id")
+
+
+@query
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("observation"))
+    return html.extract_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
