@@ -8,30 +8,39 @@ from pyspark.sql import functions as F
 from stridemill.scale import checkpoint
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """Every node's neighbours hang on the smallest of them and itself. ``src, dst`` with ``src > dst`` in and out.
+
+    Neighbours above a node move to the smallest id around it, then those below move to the smallest
+    among themselves. Each half is one partial aggregate and one join of the edges with one row per node,
+    which adaptive execution may split where a hub has many edges; the number of edges never grows.
+    """
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    lowest = both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("_low"))
+    above = both.filter(F.col("dst") > F.col("src")).join(lowest, "src")
+    large = checkpoint(above.select(F.col("dst").alias("src"), F.col("_low").alias("dst")).distinct())
+    lowest = large.groupBy("src").agg(F.min("dst").alias("_low"))
+    below = large.join(lowest, "src").filter(F.col("dst") != F.col("_low")).select(F.col("dst").alias("src"), F.col("_low").alias("dst"))
+    return checkpoint(below.unionByName(lowest.select("src", F.col("_low").alias("dst"))).distinct())
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """Smallest reachable id for every linked id: ``id, component``.
 
-    Each round takes the smallest label over the neighbours and then jumps to
-    that label's own label, so long chains shrink fast. Aggregation is partial
-    before the shuffle; hubs cost no more than their links.
+    ``a, b`` links become stars in rounds of ``_stars``, until every node has one edge and no node is both
+    ends; what is left names the component of each node. A node linked to itself only is its own.
     """
-    edges = checkpoint(
-        links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        .unionByName(links.select(F.col("b").alias("src"), F.col("a").alias("dst")))
-        .distinct()
-    )
-    labels = checkpoint(edges.groupBy(F.col("src").alias("id")).agg(F.least(F.col("id"), F.min("dst")).alias("component")))
+    pairs = checkpoint(links.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct())
+    alone = pairs.filter(F.col("src") == F.col("dst")).select("src")
+    edges = pairs.filter(F.col("src") != F.col("dst"))
     while True:
-        near = edges.join(labels, edges["dst"] == labels["id"]).groupBy("src").agg(F.min("component").alias("_near"))
-        lowered = labels.join(near, labels["id"] == near["src"]).select(
-            "id", F.col("component").alias("_old"), F.least("component", "_near").alias("_new")
-        )
-        jump = labels.select(F.col("id").alias("_new"), F.col("component").alias("_jump"))
-        moved = checkpoint(
-            lowered.join(jump, "_new", "left").select(
-                "id", "_old", F.least("_new", F.coalesce("_jump", "_new")).alias("component")
-            )
-        )
-        labels = moved.select("id", "component")
-        if moved.filter(F.col("_old") != F.col("component")).isEmpty():
-            return labels
+        inner = edges.select("src").join(edges.select(F.col("dst").alias("src")), "src", "left_semi")
+        several = edges.groupBy("src").count().filter("count > 1")
+        if several.isEmpty() and inner.isEmpty():
+            break
+        edges = _stars(edges)
+    roots = edges.select(F.col("dst").alias("id")).unionByName(alone.select(F.col("src").alias("id")).join(
+        edges.select(F.col("src").alias("id")), "id", "left_anti")).distinct()
+    return edges.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(
+        roots.select("id", F.col("id").alias("component"))
+    )
