@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 BATCH_ROWS = 512
 SLICE_CHARS = 1 << 20
@@ -29,29 +29,28 @@ def text_slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[in
         yield start, len(texts)
 
 
-def sorted_groups(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Groups of a partition sorted by ``keys``, one frame each. The caller's keys bound a group's size."""
-    held: list[pd.DataFrame] = []
+def sorted_groups(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Groups of a partition sorted by ``keys``, each as arrays by column. The caller's keys bound a group's size."""
+    held: list[dict[str, np.ndarray]] = []
     last = None
+
+    def whole() -> dict[str, np.ndarray]:
+        return held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
     for frame in frames:
         if not len(frame):
             continue
-        marks = [frame[k].to_numpy() for k in keys]
+        columns = {c: frame[c].to_numpy() for c in frame.columns}
         change = np.zeros(len(frame), bool)
-        for m in marks:
-            change[1:] |= m[1:] != m[:-1]
-        edges = [0, *np.flatnonzero(change), len(frame)]
+        for k in keys:
+            change[1:] |= columns[k][1:] != columns[k][:-1]
+        edges = [0, *np.flatnonzero(change).tolist(), len(frame)]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            key = tuple(m[lo] for m in marks)
+            key = tuple(columns[k][lo] for k in keys)
             if held and key != last:
-                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+                yield whole()
                 held = []
-            held.append(frame.iloc[lo:hi])
+            held.append({c: v[lo:hi] for c, v in columns.items()})
             last = key
     if held:
-        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-
-
-def gathered(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of a key side by side in one partition, for ``sorted_groups``."""
-    return df.repartition(*keys).sortWithinPartitions(*keys)
+        yield whole()

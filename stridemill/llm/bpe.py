@@ -139,10 +139,10 @@ def _long_pieces(texts: DataFrame, ranks_path: str, pattern: str, chunk: int, ov
         for group in sorted_groups(frames, ["_row", "run"]):
             own = group["text"].tolist()
             whole = "".join(t[:chunk] for t in own[:-1]) + own[-1]
-            base = int(group["part"].iloc[0]) * chunk
-            start, to = int(group["from"].iloc[0]), group["to"].iloc[0]
+            base = int(group["part"][0]) * chunk
+            start, to = int(group["from"][0]), group["to"][0]
             yield pd.DataFrame({
-                "_row": group["_row"].iloc[:1], "part": group["run"].iloc[:1],
+                "_row": group["_row"][:1], "part": group["run"][:1],
                 "piece": [whole[start - base : None if pd.isna(to) else int(to) - base]],
             })
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stridemill.llm import words
 from stridemill.llm.batches import bound_batches, sorted_groups, text_slices
-from stridemill.llm.pairs import block_pairs, link_rows, meeting
+from stridemill.llm.pairs import Links, block_pairs, meeting
 from stridemill.operators.components import connected_components
 from stridemill.scale import broadcast_if_small, checkpoint
 
@@ -85,21 +85,24 @@ def surviving(signature: np.ndarray, a: np.ndarray, b: np.ndarray, limits: list[
 def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spanning links of the pairs that survive in each bucket."""
     limits = least_matches()
-    rows: list[pd.DataFrame] = []
+    links = Links()
+
+    def told() -> pd.DataFrame:
+        found = links.take()
+        return found.loc[found["node"] != found["root"], ["node", "root"]].drop_duplicates()
+
     for group in sorted_groups(frames, ["bucket", "_i", "_j"]):
-        if len(group) < 2:
+        nodes = group["node"]
+        if len(nodes) < 2:
             continue
-        signature = np.stack([np.frombuffer(s, np.uint32) for s in group["signature"]])
-        a, b = surviving(signature, *np.nonzero(meeting(group)), limits)
+        signature = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(len(nodes), -1)
+        pairs = np.nonzero(meeting(group)) if len(nodes) > 2 else (np.zeros(1, int), np.ones(1, int))
+        a, b = surviving(signature, *pairs, limits)
         if len(a):
-            nodes = group["node"].to_numpy()
-            found = link_rows(nodes, np.ones(len(nodes), np.int64), a, b)
-            rows.append(found.loc[found["node"] != found["root"], ["node", "root"]])
-        if len(rows) >= 1000:
-            yield pd.concat(rows).drop_duplicates()
-            rows = []
-    if rows:
-        yield pd.concat(rows).drop_duplicates()
+            links.add(nodes, np.ones(len(nodes), np.int64), a, b)
+        if links.rows >= 100_000:
+            yield told()
+    yield told()
 
 
 def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -124,16 +127,16 @@ def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 
 def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Exact links inside each block pair of a candidate component."""
-    rows: list[pd.DataFrame] = []
+    links = Links()
     for group in sorted_groups(frames, ["component", "_i", "_j"]):
         texts = group["text"].tolist()
         sets = [s for lo, hi in text_slices(texts) for s in shingle_sets(texts[lo:hi])]
         # an id that several rows share brings texts of other classes and repeats along
-        right = sketch_keys(sets) == group["key_a"].to_numpy()
-        right &= ~group["node"].where(right).duplicated().to_numpy()
+        right = sketch_keys(sets) == group["key_a"]
+        right &= ~pd.Series(group["node"]).where(right).duplicated().to_numpy()
         if right.sum() < 2:
             continue
-        group = group[right]
+        group = {c: v[right] for c, v in group.items()}
         sets = [s for s, r in zip(sets, right, strict=True) if r]
         sizes = np.array([len(s) for s in sets])
         common = overlaps(sets)
@@ -141,12 +144,10 @@ def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         near = common * 1000 >= round(THRESHOLD * 1000) * (sizes[:, None] + sizes[None, :] - common)
         a, b = np.nonzero(near & meeting(group))
         if len(a):
-            rows.append(link_rows(group["node"].to_numpy(), group["copies"].to_numpy(), a, b))
-        if len(rows) >= 1000:
-            yield pd.concat(rows)
-            rows = []
-    if rows:
-        yield pd.concat(rows)
+            links.add(group["node"], group["copies"], a, b)
+        if links.rows >= 100_000:
+            yield links.take()
+    yield links.take()
 
 
 def sketch_keys(sets: list[np.ndarray]) -> np.ndarray:

@@ -20,11 +20,11 @@ def block_pairs(df: DataFrame, node: str, blocks: Column) -> DataFrame:
     return spread.withColumns({"_i": F.least("_home", "_other"), "_j": F.greatest("_home", "_other")}).drop("_other", "_blocks")
 
 
-def meeting(group: pd.DataFrame) -> np.ndarray:
+def meeting(group: dict[str, np.ndarray]) -> np.ndarray:
     """Which pairs of a block-pair group are its own: a boolean upper triangle."""
-    home = group["_home"].to_numpy()
-    own = np.triu(np.ones((len(group), len(group)), bool), 1)
-    if group["_i"].iloc[0] != group["_j"].iloc[0]:
+    home = group["_home"]
+    own = np.triu(np.ones((len(home), len(home)), bool), 1)
+    if group["_i"][0] != group["_j"][0]:
         own &= home[:, None] != home[None, :]
     return own
 
@@ -43,11 +43,23 @@ def forest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link_rows(nodes: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    """What a group tells about its linked nodes: rows linked to each, and the node it hangs on in the forest."""
-    links = np.zeros(len(nodes), np.int64)
-    np.add.at(links, a, copies[b])
-    np.add.at(links, b, copies[a])
-    root = forest(len(nodes), a, b)
-    seen = np.flatnonzero(links)
-    return pd.DataFrame({"node": nodes[seen], "links": links[seen], "root": nodes[root[seen]]})
+class Links:
+    """Collects what groups tell about their linked nodes: rows linked to each, and the node it hangs on in the forest."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = 0
+
+    def add(self, nodes: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        links = np.zeros(len(nodes), np.int64)
+        np.add.at(links, a, copies[b])
+        np.add.at(links, b, copies[a])
+        root = forest(len(nodes), a, b)
+        seen = np.flatnonzero(links)
+        self.parts.append((nodes[seen], links[seen], nodes[root[seen]]))
+        self.rows += len(seen)
+
+    def take(self) -> pd.DataFrame:
+        node, links, root = (np.concatenate([p[i] for p in self.parts] or [np.zeros(0, np.int64)]) for i in range(3))
+        self.parts, self.rows = [], 0
+        return pd.DataFrame({"node": node, "links": links, "root": root})

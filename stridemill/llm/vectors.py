@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridemill.llm.batches import bound_batches, sorted_groups
-from stridemill.llm.pairs import block_pairs, link_rows, meeting
+from stridemill.llm.pairs import Links, block_pairs, meeting
 from stridemill.llm.words import mixed
 from stridemill.operators.components import connected_components
 from stridemill.scale import checkpoint
@@ -161,19 +161,16 @@ def link_skills(skills: DataFrame, cosine: float = 0.98) -> DataFrame:
     group_keys = [*keys, "_i", "_j"]
 
     def linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[pd.DataFrame] = []
+        links = Links()
         for group in sorted_groups(frames, group_keys):
-            if len(group) < 2:
+            if len(group["node"]) < 2:
                 continue
-            vectors = np.stack(group["embedding"])
-            a, b = owned_pairs(vectors, meeting(group), int(group["block"].iloc[0]), int(group["cell"].iloc[0]), cosine)
+            a, b = owned_pairs(np.stack(group["embedding"]), meeting(group), int(group["block"][0]), int(group["cell"][0]), cosine)
             if len(a):
-                rows.append(link_rows(group["node"].to_numpy(), group["copies"].to_numpy(), a, b))
-            if len(rows) >= 1000:
-                yield pd.concat(rows)
-                rows = []
-        if rows:
-            yield pd.concat(rows)
+                links.add(group["node"], group["copies"], a, b)
+            if links.rows >= 100_000:
+                yield links.take()
+        yield links.take()
 
     links = checkpoint(
         meet.join(classes.select("node", "embedding", "copies"), "node")
