@@ -42,7 +42,6 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
-_SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -101,16 +100,12 @@ def parse(source: str) -> Page:
     def flush() -> None:
         nonlocal linked
         if pieces:
-            text = _SPACE.sub(" ", "".join(pieces)).strip()
+            text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
                 page.blocks.append((stack[-1], text))
-                value = max(0.0, len(text) - 2.0 * linked)
-                at = stack[-1]
-                while at >= 0:
-                    nodes[at].value += value
-                    nodes[at].every += len(text)
-                    at = nodes[at].parent
+                nodes[stack[-1]].value += max(0.0, len(text) - 2.0 * linked)
+                nodes[stack[-1]].every += len(text)
         linked = 0
 
     def spoken(raw: str) -> None:
@@ -119,10 +114,7 @@ def parse(source: str) -> Page:
             return
         top = nodes[stack[-1]]
         if top.dropped:
-            size, at = len(raw.strip()), stack[-1]
-            while size and at >= 0:
-                nodes[at].every += size
-                at = nodes[at].parent
+            top.every += len(raw.strip())
             return
         text = entities.unescape(raw) if "&" in raw else raw
         pieces.append(text)
@@ -190,6 +182,9 @@ def parse(source: str) -> Page:
         if not ((m["attributes"] or "").rstrip().endswith("/") and tag not in BLOCK):
             stack.append(len(nodes) - 1)
     flush()
+    for node in reversed(nodes[1:]):  # children come behind their parents
+        nodes[node.parent].value += node.value
+        nodes[node.parent].every += node.every
     return page
 
 
