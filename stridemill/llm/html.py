@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridemill.llm.batches import bound_batches
+from stridemill.scale import broadcast_if_small, checkpoint
 
 PATHS_PER_HOST = 5
 
@@ -219,8 +220,9 @@ def extract_text(steps: DataFrame, observation: str = "observation", url: str =
     added up per host of ``url`` in Spark, and every page is read again at the first of its host's
     ``paths_per_host`` strongest paths that it has, or at its own best container if it has none. Pages without a
     host use their own. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-    comments are dropped. A null or empty observation has an empty text. Each page is parsed in place;
-    a hot host only adds to its partial sums.
+    comments are dropped. A null or empty observation has an empty text. Each page is parsed in place and a hot host
+    only adds to its partial sums; the table of winning paths is broadcast when its counted size is small, and
+    joined by host, with adaptive skew handling, beyond that.
     """
     bound_batches(steps.sparkSession, 128)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -250,4 +252,5 @@ def extract_text(steps: DataFrame, observation: str = "observation", url: str =
                 text_at(parse(t), [] if p is None else list(p)) if t else "" for t, p in zip(pages, paths, strict=True)
             ], dtype=object)
 
-    return hosted.join(winners, "_host", "left").withColumn("text", read(observation, "_paths")).drop("_host", "_paths")
+    few, _ = broadcast_if_small(checkpoint(winners), 512 * paths_per_host)
+    return hosted.join(few, "_host", "left").withColumn("text", read(observation, "_paths")).drop("_host", "_paths")
