@@ -100,9 +100,14 @@ def train_tagger(
     The rows with the smallest hash of ``id_column`` are taken, and at most ``windows`` of their windows, so the
     sample that reaches the driver is bounded at any input size. None without such rows.
     """
-    marked = segments.filter(F.col("text").rlike("[0-9@]"))
-    order = [F.xxhash64(F.lit("tagger"), id_column), F.xxhash64("text")]
-    texts = [r[0] for r in marked.select("text", *[o.alias(f"_{i}") for i, o in enumerate(order)]).orderBy("_0", "_1").limit(rows).select("text").collect()]
+    draw = F.xxhash64(F.lit("tagger"), id_column)
+    marked = F.col("text").rlike("[0-9@]")
+    # hashes first, so that tasks send the driver eight bytes a row; then the texts of the rows below the last of them
+    drawn = [r[0] for r in segments.filter(marked).select(draw.alias("_draw")).orderBy("_draw").limit(rows).collect()]
+    if not drawn:
+        return None
+    below = segments.filter(draw <= drawn[-1]).filter(marked).select("text", draw.alias("_draw"), F.xxhash64("text").alias("_tie"))
+    texts = [r[0] for r in below.orderBy("_draw", "_tie").limit(rows).select("text").collect()]
     rng = np.random.default_rng(7)
     chosen = []
     for text in texts:
