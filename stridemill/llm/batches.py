@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 
-BATCH_ROWS = 512
-SLICE_CHARS = 1 << 20
+BATCH_ROWS = 256
+SLICE_CHARS = 1 << 17
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

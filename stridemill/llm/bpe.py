@@ -19,7 +19,7 @@ from stridemill.scale import checkpoint
 
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 11
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 
 _SAFE = regex.compile(r"(?<=[^\s\x1c-\x1f])(?= [^\s\x1c-\x1f])")
 

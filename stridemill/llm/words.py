@@ -8,7 +8,6 @@ line or word window without a loop.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 
@@ -19,20 +18,22 @@ SYMBOL[list(b"#*$%&|<>")] = True
 
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xC2B2AE3D27D4EB4F
-_MASK = (1 << 64) - 1
 _BYTES = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-@lru_cache(8)
-def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(1 << bits, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, at least ``size``; one pair of arrays is kept per base."""
+    if base not in _POWERS or len(_POWERS[base][0]) < size:
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(max(1 << 18, size), b, np.uint64)
+            p[0] = 1
+            both.append(np.multiply.accumulate(p))
+        _POWERS[base] = both[0], both[1]
+    return _POWERS[base]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -48,10 +49,9 @@ class Rolling:
     """Hash of any range of a sequence of 64-bit values."""
 
     def __init__(self, values: np.ndarray, base: int = _BASE):
-        bits = max(16, int(len(values)).bit_length())
-        self.powers, self.inverse = _powers(base, bits)
+        powers, self.inverse = _powers(base, len(values) + 1)
         self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.powers[: len(values)], out=self.sums[1:])
+        np.cumsum(values * powers[: len(values)], out=self.sums[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
