@@ -19,7 +19,6 @@ from stridemill.scale import checkpoint
 
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 11
-CACHE_WORDS = 50_000
 
 _SAFE = regex.compile(r"(?<=[^\s\x1c-\x1f])(?= [^\s\x1c-\x1f])")
 
@@ -29,7 +28,7 @@ class Tokenizer:
 
     ``pattern`` must match from the front on without looking behind, and must never let a piece
     go on from another character into a space; every single space between two other characters is then a
-    boundary in any context. Ids of such stretches are cached, ``CACHE_WORDS`` at most.
+    boundary in any context.
     """
 
     def __init__(self, ranks_path: str, pattern: str):
@@ -43,7 +42,6 @@ class Tokenizer:
         self.bytes = [b""] * self.size
         for token, rank in ranks.items():
             self.bytes[rank] = token
-        self.cache: dict[str, list[int]] = {}
 
     def boundaries(self, text: str) -> list[int]:
         """Starts of all pieces of ``text``."""
@@ -51,18 +49,7 @@ class Tokenizer:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text that begins and ends at piece boundaries."""
-        ids: list[int] = []
-        cache = self.cache
-        for stretch in _SAFE.split(text):
-            known = cache.get(stretch)
-            if known is None:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                known = self.encoding.encode_ordinary(stretch)
-                if len(stretch) < 64:
-                    cache[stretch] = known
-            ids += known
-        return np.array(ids, "<u4")
+        return np.array(self.encoding.encode_ordinary(text), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
