@@ -190,14 +190,17 @@ def parse(source: str) -> Page:
 
 
 def best_path(page: Page) -> tuple[str, float] | None:
-    """Path and score of the page's best container: much own text, little of it links or dropped parts."""
+    """Path and vote of the page's best container: much own text, little of it links or dropped parts.
+
+    The vote is the score over the page's own text, so that a long page has no more say than a short one.
+    """
     best = None
     for node in page.nodes:
         if node.tag in CONTAINER and not node.dropped and node.value > 0:
             score = node.value * BONUS.get(node.tag, 1.0) * node.value / node.every
             if best is None or score >= best[1]:  # of equals the innermost, which holds the same text
                 best = (node.path, score)
-    return best
+    return best and (best[0], best[1] / page.nodes[0].value)
 
 
 def text_at(page: Page, paths: list[str]) -> str:
