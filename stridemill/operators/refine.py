@@ -22,6 +22,7 @@ from stridemill.scale import checkpoint, global_rank, lookup_join
 # fixed values
 UTILITY_WEIGHTS = {"success": 0.45, "reward": 0.35, "step_save": 0.15, "cost": 0.05}
 SUBSET_BITS = 12
+MAX_SET = 30
 
 
 @dataclass(frozen=True)
@@ -226,16 +227,21 @@ def append(first: DataFrame, second: DataFrame) -> DataFrame:
     return global_rank(both, [F.col("_part"), F.col("pos")], "_pos").withColumn("pos", F.col("_pos")).drop("_part", "_pos")
 
 
-def mid_co_usage(hits: DataFrame, record_keys: list[str]) -> DataFrame:
+def mid_co_usage(hits: DataFrame, record_keys: list[str], max_set: int = MAX_SET) -> DataFrame:
     """Every set of two or more mid skills retrieved together, with the number of records.
 
     Equal sets are counted first, so the subsets of a set are listed once
     however many records share it. The mask is split in two explodes, which
-    keeps every intermediate array small for any set size.
+    keeps every intermediate array small for any set size. The listing doubles with every skill of a set: a
+    record with more than ``max_set`` (at most 62) stops the query with an error, none is counted in part.
     """
+    if max_set > 62:
+        raise ValueError("max_set may be 62 at most")
     mids = hits.filter("granularity = 'mid' and skill_id <> ''")
     sets = mids.groupBy(*record_keys).agg(F.array_sort(F.collect_set("skill_id")).alias("all"))
     counted = sets.filter(F.size("all") >= 2).groupBy("all").agg(F.count(F.lit(1)).alias("n"))
+    refused = F.raise_error(F.lit(f"co-usage set of more than {max_set} skills: raise max_set or retrieve fewer")).cast("array<string>")
+    counted = counted.withColumn("all", F.when(F.size("all") > max_set, refused).otherwise(F.col("all")))
     split = counted.selectExpr(
         "all", "n",
         f"explode(sequence(0L, shiftleft(1L, greatest(size(all) - {SUBSET_BITS}, 0)) - 1)) high",

@@ -90,11 +90,12 @@ def match_grid(tasks: DataFrame, skills: DataFrame, segs: DataFrame, first: int
     }
     cells = None
     for start, size, part in blocks(skills):
-        row = None
+        row = tasks.select("task_id")
         for name, (terms, weights) in sides.items():
             inside = weights.filter(F.col("pos").between(start, start + size - 1))
             sims = sparse_sims(terms, ["task_id"], inside, start, size, name)
-            row = sims if row is None else row.join(sims, "task_id")
+            # a task without segments or text matches nothing, but stays
+            row = row.join(sims, "task_id", "left").withColumn(name, F.coalesce(name, F.array_repeat(F.lit(0.0), size)))
         long = row.select("task_id", F.posexplode(F.arrays_zip(*sides)).alias("_i", "m")).select(
             "task_id", "_i", *[F.col(f"m.{name}") for name in sides]
         )

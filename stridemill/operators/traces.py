@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridemill.functions import text as tx
-from stridemill.scale import HOT_ROWS, global_rank, halo_chunks, lookup_join, split_hot
+from stridemill.scale import HOT_ROWS, global_rank, halo_chunks, lookup_join, number_rows, split_hot
 
 TASK = ["task_id"]
 
@@ -146,18 +146,27 @@ def sequence_edges(segs: DataFrame, relation: str = "next", order: str = "step_i
     )
 
 
+def segment_order(segs: DataFrame, order: str = "step_index") -> list[Column]:
+    """List order of a trajectory's segments: ``order`` with null as 0, then place in the input, then id."""
+    ties = [F.col(c) for c in ("pos", "segment_id") if c in segs.columns and c != order]
+    return [F.coalesce(F.col(order), F.lit(0)), *ties]
+
+
 def step_pairs(segs: DataFrame, columns: list[str], order: str = "step_index") -> DataFrame:
     """Neighbouring segments side by side; the successor's columns get the prefix ``next_``.
 
-    ``order`` is the dense position in the trajectory, so the window can be cut into bounded chunks.
+    Neighbours follow each other in ``segment_order``, whatever the gaps in ``order``; a dense number by that
+    order lets the window be cut into bounded chunks.
     """
+    dense = number_rows(segs, ["trajectory_id"], segment_order(segs, order), "_seq")
     chunked = halo_chunks(
-        segs.select("trajectory_id", order, *[c for c in columns if c not in ("trajectory_id", order)]), order, after=1
+        dense.select("trajectory_id", order, "_seq", *[c for c in columns if c not in ("trajectory_id", order)]), "_seq", after=1
     )
-    window = Window.partitionBy("trajectory_id", "_chunk").orderBy(order)
+    window = Window.partitionBy("trajectory_id", "_chunk").orderBy("_seq")
     moved = [F.lead(c).over(window).alias(f"next_{c}") for c in columns]
     paired = chunked.select("*", F.lead(F.col(order)).over(window).alias("_next"), *moved)
-    return paired.filter(F.col("_core") & F.col("_next").isNotNull()).drop("_chunk", "_core", "_next")
+    follows = F.lead("_seq").over(window).isNotNull()
+    return paired.withColumn("_follows", follows).filter(F.col("_core") & F.col("_follows")).drop("_chunk", "_core", "_next", "_seq", "_follows")
 
 
 def task_states(steps: DataFrame, recent: int = 5) -> DataFrame:
@@ -186,10 +195,12 @@ def state_text(states: DataFrame) -> Column:
 def task_texts(segs: DataFrame, first: int) -> DataFrame:
     """Query text of a logged task: goal, environment, label and text of its first segments.
 
-    Only segments numbered up to ``first`` leave the scan, so the list is bounded.
+    The first segments by ``segment_order``, whatever their numbers; each map task keeps that many per
+    trajectory, so the list is bounded.
     """
-    head = segs.filter(F.col("step_index") <= first)
-    parts = F.array_sort(F.collect_list(F.struct("step_index", "label", "text")))
+    inside = Window.partitionBy("trajectory_id").orderBy(*segment_order(segs))
+    head = segs.withColumn("_rank", F.row_number().over(inside)).filter(F.col("_rank") <= first)
+    parts = F.array_sort(F.collect_list(F.struct("_rank", "label", "text")))
     lines = F.flatten(F.transform(parts, lambda s: F.array(s["label"], s["text"])))
     return head.groupBy(F.col("trajectory_id").alias("task_id")).agg(
         F.concat_ws("\n", F.min("goal"), F.min("env"), F.concat_ws("\n", lines)).alias("text")

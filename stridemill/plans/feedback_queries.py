@@ -192,9 +192,9 @@ def refined_library(spark: SparkSession, sf: str) -> DataFrame:
 
 CTES["lsrc"] = """
 SELECT 'planned_planning_' || printf('%03d', row_number() OVER (ORDER BY goal) - 1) AS key, 0 AS spot, goal AS source FROM (SELECT DISTINCT goal FROM segs)
-UNION ALL SELECT 'planned_functional_' || printf('%03d', u), 0, 'goal ' || u FROM (SELECT DISTINCT user_id % 20 AS u FROM events WHERE user_id % 20 < 10)
-UNION ALL SELECT 'planned_functional_' || printf('%03d', u), 1, task FROM (SELECT user_id % 20 AS u, min('u' || user_id || '_' || strftime(ts, '%Y-%m-%d')) AS task FROM events WHERE user_id % 20 < 10 GROUP BY ALL)
-UNION ALL SELECT 'planned_functional_' || printf('%03d', u), 2, 'goal ' || (u + 1) FROM (SELECT DISTINCT user_id % 20 AS u FROM events WHERE user_id % 20 < 10)"""
+UNION ALL SELECT 'planned_functional_' || printf('%03d', u), 0, 'goal ' || u FROM (SELECT DISTINCT user_id % 20 AS u FROM events)
+UNION ALL SELECT 'planned_functional_' || printf('%03d', u), 1, task FROM (SELECT user_id % 20 AS u, min('u' || user_id || '_' || strftime(ts, '%Y-%m-%d')) AS task FROM events GROUP BY ALL)
+UNION ALL SELECT 'planned_functional_' || printf('%03d', u), 2, 'goal ' || (u + 1) FROM (SELECT DISTINCT user_id % 20 AS u FROM events)"""
 CTES["lmem"] = """
 SELECT key, segment_id, min({'a': spot, 'b': b, 'c': pos}) AS pos, any_value(trajectory_id) AS trajectory_id, any_value(success) AS success, any_value(final_reward) AS final_reward, any_value(step_reward) AS step_reward FROM (
  SELECT l.key, l.spot, 0 AS b, s.* FROM lsrc l JOIN segs s ON s.trajectory_id = l.source UNION ALL SELECT l.key, l.spot, 1, s.* FROM lsrc l JOIN segs s ON s.goal = l.source) GROUP BY key, segment_id"""
@@ -206,7 +206,7 @@ def planned_library(spark: SparkSession, sf: str):
     u = F.col("user_id") % 20
     ts = F.col("ts").cast("timestamp")
     task = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("_"), F.date_format(ts, "yyyy-MM-dd"))
-    items = fx.table(spark, sf, "events").filter(u < 10).groupBy(u.alias("index")).agg(F.min(task).alias("task")).select(
+    items = fx.table(spark, sf, "events").groupBy(u.alias("index")).agg(F.min(task).alias("task")).select(
         F.lit("functional").alias("granularity"), "index", F.lit("").alias("name"), F.lit("Reads pages.").alias("document"),
         F.lit(None).cast("string").alias("content"), F.array(F.lit("open"), F.lit("click")).alias("tools"),
         F.array(F.format_string("goal %d", "index"), "task", F.format_string("goal %d", F.col("index") + 1)).alias("source_tasks"))

@@ -162,7 +162,7 @@ CTES["gtend"] = "SELECT label, template, avg(success::INT) AS tendency FROM gseg
 CTES["gmask"] = """
 SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM (SELECT src, dst FROM gtop UNION ALL SELECT src, dst FROM gnext)"""
 CTES["gedges"] = """
-SELECT m.src, m.dst, s.sim AS semantic, CASE WHEN n.src IS NULL THEN 0.0 ELSE 1.0 END AS transition, a.success AS src_success, b.success AS dst_success,
+SELECT m.src, m.dst, s.sim AS semantic, CASE WHEN n.src IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS transition, a.success AS src_success, b.success AS dst_success,
   1 - abs(ta.tendency - tb.tendency) AS outcome,
   0.45 * s.sim + 0.35 * CASE WHEN n.src IS NULL THEN 0.0 ELSE 1.0 END + 0.2 * (1 - abs(ta.tendency - tb.tendency)) AS weight
 FROM gmask m JOIN gsim s USING (src, dst) LEFT JOIN gnext n ON n.src = m.src AND n.dst = m.dst

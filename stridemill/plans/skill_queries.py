@@ -192,12 +192,12 @@ def mined_tower(spark: SparkSession, sf: str) -> DataFrame:
     return model.skills.select("skill_id", "granularity", "support", "success_rate", "avg_reward", F.concat_ws(",", "child_skill_ids").alias("children"))
 
 
-@query("K7", """WITH RECURSIVE l AS (SELECT event_id AS a, event_id + 150 AS b FROM events WHERE event_type IN ('click', 'view') AND event_id + 150 IN (SELECT event_id FROM events)),
+@query("K7", """WITH RECURSIVE l AS (SELECT event_id AS a, event_id + 150 AS b FROM events WHERE event_id + 150 IN (SELECT event_id FROM events)),
 u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), walk AS (SELECT DISTINCT a AS id, a AS component FROM u
  UNION SELECT u.b, w.component FROM walk w JOIN u ON u.a = w.id WHERE w.component < u.b)
 SELECT id, min(component) AS component FROM walk GROUP BY id""")
 def linked_components(spark: SparkSession, sf: str) -> DataFrame:
     e = fx.table(spark, sf, "events")
     ids = e.select(F.col("event_id").alias("b"))
-    links = e.filter(F.col("event_type").isin("click", "view")).select(F.col("event_id").alias("a"), (F.col("event_id") + 150).alias("b"))
+    links = e.select(F.col("event_id").alias("a"), (F.col("event_id") + 150).alias("b"))
     return connected_components(links.join(ids, "b", "left_semi"))
