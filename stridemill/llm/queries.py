@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridemill.llm import bpe, chat, html, jaccard, language, mixing, pii, quality, sharding, vectors
+from stridemill.llm.checks import ORACLE_SQL  # noqa: F401
 from stridemill.plans.fixtures import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 SHARDS = 40
 
