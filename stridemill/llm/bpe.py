@@ -140,14 +140,14 @@ def _long_pieces(texts: DataFrame, ranks_path: str, pattern: str, chunk: int, ov
 def encode_segments(
     segments: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS
 ) -> DataFrame:
-    """Token ids of every whole ``text``: ``segment_id, part, ids`` (unsigned 32-bit, little-endian, as binary).
+    """Token ids of every whole ``text``: ``segment_id, row, parted, part, ids`` (unsigned 32-bit, little-endian, as binary).
 
     A text of up to ``chunk`` characters is one part, numbered 0. A longer one is cut into chunks that run
     ``overlap`` characters into the next and are pre-tokenised apart; neighbours are stitched at their
     first common boundary, and where the overlap has none (one very long piece) they are joined. The
     stitched parts are encoded in parallel; parts of a segment in order of ``part`` make up its ids. A
-    null or empty text has one part without ids. Rows with equal ids are kept apart by ``row``, a
-    number without meaning beyond that. Other columns are not carried.
+    null or empty text has one part without ids. ``parted`` tells the parts of long texts, whose ``row`` keeps
+    rows with equal ids apart and has no meaning beyond that; it is 0 elsewhere. Other columns are not carried.
     """
     spark = segments.sparkSession
     bound_batches(spark)
@@ -161,13 +161,16 @@ def encode_segments(
 
     ids = F.pandas_udf(encoded, "binary")
     short = texts.filter(size <= chunk).select(
-        "segment_id", F.monotonically_increasing_id().alias("row"), F.lit(0).cast("long").alias("part"), ids("text").alias("ids")
+        "segment_id", F.lit(0).cast("long").alias("row"), F.lit(False).alias("parted"), F.lit(0).cast("long").alias("part"),
+        ids("text").alias("ids"),
     )
     long_ = checkpoint(texts.filter(size > chunk).withColumn("_row", -1 - F.monotonically_increasing_id()))
     if long_.isEmpty():
         return short
     parts = _long_pieces(long_, ranks_path, pattern, chunk, overlap).join(long_.select("_row", "segment_id"), "_row")
-    return short.unionByName(parts.select("segment_id", F.col("_row").alias("row"), "part", ids("piece").alias("ids")))
+    return short.unionByName(parts.select(
+        "segment_id", F.col("_row").alias("row"), F.lit(True).alias("parted"), "part", ids("piece").alias("ids")
+    ))
 
 
 def decode_segments(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -186,9 +189,9 @@ def digests(decoded: DataFrame) -> DataFrame:
     """``segment_id, n_tokens, ids_sha256, decoded_sha256`` per encoded segment.
 
     One-part segments are digested where they are; only the parts of long ones are brought together,
-    in order, and hashed as they stream by.
+    in order, and hashed as they stream by. ``parted`` is constant in each branch, so neither side encodes the other's texts.
     """
-    alone = decoded.filter("row >= 0").select(
+    alone = decoded.filter("not parted").select(
         "segment_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
@@ -211,5 +214,5 @@ def digests(decoded: DataFrame) -> DataFrame:
 
     names = ["segment_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     kind = dict(decoded.dtypes)["segment_id"]
-    long_ = decoded.filter("row < 0").repartition("row").sortWithinPartitions("row", "part")
+    long_ = decoded.filter("parted").repartition("row").sortWithinPartitions("row", "part")
     return alone.unionByName(long_.mapInPandas(streamed, f"segment_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"))
