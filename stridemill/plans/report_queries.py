@@ -15,12 +15,12 @@ from stridemill.plans.trace_queries import SUMMARY, flagged_steps
 
 METHODS = ["tower", "planned", "flat", "no_skill"]
 
-# a library per run: low by template, mid by event kind, the last kind without a level; run 3 has none
+# a library per run: low by template, mid by event kind, the last kind without a level
 CTES["rskills"] = """
 SELECT run_id AS experiment_dir, ['tower', 'planned', 'flat', 'no_skill'][right(run_id, 1)::INT + 1] AS method, 'low_' || template AS skill_id, 'Low ' || template AS name, 'low' AS granularity,
- count(*) AS support, length(template)::DOUBLE AS token_cost, avg(success::INT) AS success_rate, avg(final_reward) AS avg_reward, NULL::DOUBLE AS coverage FROM segs WHERE run_id <> 'run_3' GROUP BY run_id, template
+ count(*) AS support, length(template)::DOUBLE AS token_cost, avg(success::INT) AS success_rate, avg(final_reward) AS avg_reward, NULL::DOUBLE AS coverage FROM segs GROUP BY run_id, template
 UNION ALL SELECT run_id, ['tower', 'planned', 'flat', 'no_skill'][right(run_id, 1)::INT + 1], 'mid_' || cluster, 'Mid ' || cluster, CASE WHEN cluster < 3 THEN 'mid' END, NULL, 9.0, avg(success::INT), avg(final_reward), count(*) / 10000.0
- FROM clustered WHERE run_id <> 'run_3' GROUP BY run_id, cluster"""
+ FROM clustered GROUP BY run_id, cluster"""
 CTES["rrows"] = """
 SELECT experiment_dir, method, skill_id, name, granularity, coalesce(support, 7)::DOUBLE AS support, token_cost, success_rate, avg_reward, coalesce(coverage, 0) AS coverage FROM rskills"""
 
@@ -40,7 +40,7 @@ def run_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_skills(spark: SparkSession, sf: str) -> DataFrame:
-    segs = run_segments(spark, sf).filter("run_id <> 'run_3'")
+    segs = run_segments(spark, sf)
     outcome = [F.avg(F.col("success").cast("double")).alias("success_rate"), F.avg("final_reward").alias("avg_reward")]
     low = segs.groupBy("run_id", "template").agg(F.count(F.lit(1)).alias("support"), *outcome).select(
         "run_id", F.concat(F.lit("low_"), "template").alias("skill_id"), F.concat(F.lit("Low "), "template").alias("name"),
@@ -68,7 +68,7 @@ def granularity_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(reports.granularity_rows(reports.skill_rows(run_skills(spark, sf), "run")))
 
 
-@query("E24 B22", """SELECT CASE method WHEN 'tower' THEN 'Tower' WHEN 'planned' THEN 'Planned' ELSE 'Flat' END AS method_label,
+@query("E24 B22", """SELECT CASE method WHEN 'tower' THEN 'Tower' WHEN 'planned' THEN 'Planned' WHEN 'no_skill' THEN 'No Skill' ELSE 'Flat' END AS method_label,
  sum(CASE WHEN granularity = 'low' THEN skill_count ELSE 0 END)::BIGINT AS low, sum(CASE WHEN granularity = 'mid' THEN skill_count ELSE 0 END)::BIGINT AS mid FROM glevels WHERE granularity IS NOT NULL GROUP BY ALL""")
 def granularity_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return reports.granularity_pivot(reports.granularity_rows(reports.skill_rows(run_skills(spark, sf), "run")))
@@ -105,12 +105,12 @@ def retrieved_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def refined_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return run_skills(spark, sf).filter("experiment_dir <> 'run_2'").groupBy("experiment_dir").agg(
+    return run_skills(spark, sf).groupBy("experiment_dir").agg(
         F.count(F.lit(1)).alias("refined_skill_count"), F.count(F.when(F.col("granularity") == "low", 1)).alias("split_child_count"))
 
 
 CTES["rret"] = "SELECT run_id AS experiment_dir, avg(k % 4) AS ra, avg(k % 7) AS da FROM raw GROUP BY run_id"
-CTES["rref"] = "SELECT experiment_dir, count(*) AS refined_skill_count, count(CASE WHEN granularity = 'low' THEN 1 END) AS split_child_count FROM rskills WHERE experiment_dir <> 'run_2' GROUP BY experiment_dir"
+CTES["rref"] = "SELECT experiment_dir, count(*) AS refined_skill_count, count(CASE WHEN granularity = 'low' THEN 1 END) AS split_child_count FROM rskills GROUP BY experiment_dir"
 CTES["rmeth"] = "SELECT DISTINCT run_id AS experiment_dir, ['tower', 'planned', 'flat', 'no_skill'][right(run_id, 1)::INT + 1] AS m FROM raw"
 
 
@@ -120,7 +120,7 @@ def methods(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("M1 E21 E22 B21 C14", f"""SELECT experiment_dir, CASE WHEN experiment_dir = 'run_0' THEN 'deployed' ELSE m END AS method, 'agent_' || right(experiment_dir, 1) AS component_agent, 'tower' AS component_miner,
  CASE WHEN experiment_dir = 'run_1' THEN 99 ELSE coalesce(s.skill_count, 0) END AS skill_count, {r6('coalesce(avg_skill_token_cost, 0)', 'avg_skill_token_cost')}, refined_skill_count,
- split_child_count, CASE WHEN refined_skill_count IS NOT NULL THEN 0 END AS merged_skill_count, {r6('ra', 'avg_retrieved_skills')}, {r6('da', 'avg_deployment_retrieved_skills')},
+ split_child_count, CASE WHEN refined_skill_count IS NOT NULL THEN 0::BIGINT END AS merged_skill_count, {r6('ra', 'avg_retrieved_skills')}, {r6('da', 'avg_deployment_retrieved_skills')},
  round(CASE WHEN avg_total_token_cost > 0 THEN 1000.0 * success_rate / avg_total_token_cost ELSE 0 END, 3) + 0.0 AS success_per_1k_tokens
 FROM rsum JOIN rmeth USING (experiment_dir) LEFT JOIN rstats s USING (experiment_dir) LEFT JOIN rret USING (experiment_dir) LEFT JOIN rref USING (experiment_dir)""")
 def run_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,3 +212,20 @@ def report_files(spark: SparkSession, sf: str) -> DataFrame:
     back = runs.read_reports(spark, folder, "skill_granularity")
     return rounded(back.select("method", "experiment_dir", "granularity", F.col("skill_count").cast("long").alias("skill_count"),
                                F.col("avg_token_cost").cast("double").alias("avg_token_cost")))
+
+
+@query("A8", """SELECT experiment_dir, method, granularity, skill_count FROM glevels
+UNION ALL SELECT experiment_dir, NULL, NULL, skill_count FROM rstats""")
+def result_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of two shapes in one CSV under all their columns, read back."""
+    import uuid
+
+    from stridemill.scale import checkpoint_dir
+    from stridemill.sources import runs
+
+    folder = f"{checkpoint_dir(spark)}/union-{uuid.uuid4().hex}"
+    skills = run_skills(spark, sf)
+    levels = reports.granularity_rows(reports.skill_rows(skills, "run"))
+    runs.write_union([levels, reports.model_statistics(skills, ["experiment_dir"])], folder)
+    back = spark.read.option("header", True).csv(folder)
+    return back.select("experiment_dir", "method", "granularity", F.col("skill_count").cast("long").alias("skill_count"))

@@ -117,7 +117,9 @@ def retrieve_per_step(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(step_hits(spark, sf).select("task_id", "t", "level_spot", "rank", "skill_id", "score"))
 
 
-@query("I13 E25", """SELECT DISTINCT task_id, 'pue' AS retrieval_strategy, (SELECT count(*) FROM heads) AS candidates, 6 AS returned, 'high=1,low=3,mid=2' AS by_level FROM tasks""")
+@query("I13 E25", f"""SELECT task_id, 'pue' AS retrieval_strategy, (SELECT count(*) FROM heads) AS candidates, sum(n)::BIGINT AS returned,
+ string_agg(granularity || '=' || n, ',' ORDER BY granularity) AS by_level
+ FROM (SELECT task_id, granularity, count(*) AS n FROM ({leveled_sql(pue_sql(), 'sims5', 'task_id')}) GROUP BY ALL) GROUP BY task_id""")
 def retrieval_metadata(spark: SparkSession, sf: str) -> DataFrame:
     segs = fx.segments(spark, sf)
     skills = library.build(segs).skills

@@ -300,7 +300,7 @@ def run_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate.run_summary(flagged_steps(spark, sf), ["run_id"]))
 
 
-@query("A1 A3 A4 A10 B7", f"SELECT segment_id, trajectory_id, step_index, label, template, action, success, {r6('final_reward')} FROM segs")
+@query("A1 A4 B7", f"SELECT segment_id, trajectory_id, step_index, label, template, action, success, {r6('final_reward')} FROM segs")
 def segments_from_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     """Written as JSON-lines records and read back."""
     import uuid
@@ -314,6 +314,40 @@ def segments_from_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(back.select("segment_id", "trajectory_id", "step_index", "label", "template", "action", "success", "final_reward"))
 
 
+@query("A1 A3", f"""SELECT task_id, min(env) AS env, min(goal) AS goal, min(final_reward) > 0 AS success, {r6('min(final_reward)', 'final_reward')}, count(*) AS n_steps,
+ string_agg(segment_id, ',' ORDER BY step_index) AS segment_ids FROM (SELECT *, trajectory_id AS task_id FROM segs) GROUP BY task_id""")
+def run_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks with their steps and segments as nested JSON-lines records, read back as tables."""
+    import uuid
+
+    from stridemill.scale import checkpoint_dir
+    from stridemill.sources import records
+
+    folder = f"{checkpoint_dir(spark)}/records-{uuid.uuid4().hex}"
+    steps = fx.steps(spark, sf)
+    records.write_jsonl(traces.nested_records(steps, traces.segments(steps)), folder)
+    tasks, segs = records.read_records(spark, folder)
+    listed = segs.groupBy(F.col("trajectory_id").alias("task_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step_index", "segment_id"))), lambda s: s["segment_id"]), ",").alias("segment_ids"))
+    return rounded(tasks.join(listed, "task_id").select("task_id", "env", "goal", "success", "final_reward", "n_steps", "segment_ids"))
+
+
+@query("A10", """SELECT 'all' AS run_id, task_id, t, action, reward FROM steps UNION ALL SELECT 'opening', task_id, t, action, reward FROM steps WHERE t = 1""")
+def run_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs written into one table, the second beside the first, both read back."""
+    import uuid
+
+    from stridemill.scale import checkpoint_dir
+    from stridemill.sources import records
+
+    root = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    steps = fx.steps(spark, sf).select("task_id", "t", "action", "reward")
+    records.write_run(spark, root, "all", {"steps": steps})
+    records.write_run(spark, root, "opening", {"steps": records.read_run(spark, root, "steps", "all").drop("run_id").filter("t = 1")})
+    back = records.read_run(spark, root, "steps")
+    return rounded(back.select(F.col("run_id").cast("string").alias("run_id"), "task_id", "t", "action", "reward"))
+
+
 @query("Z2 B10", "SELECT task_id, t, env, goal, observation, coalesce(array_to_string(recent, '|'), '') AS recent FROM states")
 def streamed_context(spark: SparkSession, sf: str) -> DataFrame:
     """The step table replayed as a stream, state kept per task."""
