@@ -133,7 +133,7 @@ def run_rows(spark: SparkSession, sf: str) -> DataFrame:
         "split_child_count", "merged_skill_count", "avg_retrieved_skills", "avg_deployment_retrieved_skills", "success_per_1k_tokens"))
 
 
-@query("M5 B21 A8", f"""SELECT experiment_dir, m AS model_method, CASE WHEN experiment_dir = 'run_1' THEN 99 ELSE coalesce(s.skill_count, 0) END AS skill_count,
+@query("M5 B21", f"""SELECT experiment_dir, m AS model_method, CASE WHEN experiment_dir = 'run_1' THEN 99 ELSE coalesce(s.skill_count, 0) END AS skill_count,
  {r6('ra', 'avg_retrieved_skills')}, {r6('da', 'avg_deployment_retrieved_skills')}, r.success_rate FROM rsum r JOIN rmeth USING (experiment_dir) LEFT JOIN rstats s USING (experiment_dir) LEFT JOIN rret USING (experiment_dir)""")
 def collected_results(spark: SparkSession, sf: str) -> DataFrame:
     rows = reports.collected_rows(summaries(spark, sf).drop("model_method"), run_skills(spark, sf), retrieved_counts(spark, sf), methods(spark, sf))
@@ -199,7 +199,7 @@ def report_manifest(spark: SparkSession, sf: str) -> DataFrame:
         "skill_granularity": reports.granularity_rows(rows)})
 
 
-@query("A7 A8 A11", f"SELECT method, experiment_dir, granularity, skill_count, {r6('avg_token_cost')} FROM glevels")
+@query("A7 A11", f"SELECT method, experiment_dir, granularity, skill_count, {r6('avg_token_cost')} FROM glevels")
 def report_files(spark: SparkSession, sf: str) -> DataFrame:
     """A report written as CSV and JSON, then read back from the CSV."""
     import uuid
