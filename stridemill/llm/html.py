@@ -32,6 +32,12 @@ CLUTTER = set(
     "disqus respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share "
     "sharing social related recommended recommendations widget widgets toolbar pagination pager login search form".split()
 )
+# elements and attributes that mark clutter but may also wrap the whole article
+MARKED = set("form header footer aside".split())
+UNREAD = DROPPED - MARKED
+BESIDE = set("header footer aside".split())
+# how much a mark weighs against what only one side of it holds: the landmarks of an article
+LANDMARK_FACTOR = 4
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 BONUS = {"article": 1.3, "main": 1.2}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -53,6 +59,7 @@ class Node:
     path: str
     parent: int
     dropped: bool
+    mark: int = 0  # innermost element at or above this one that is marked as clutter; 0 for none
     value: float = 0.0
     every: float = 0.0
 
@@ -73,44 +80,131 @@ def _attributes(text: str | None) -> dict[str, str]:
     return out
 
 
-def _is_clutter(tag: str, attributes: dict[str, str]) -> bool:
+def _is_unread(tag: str, attributes: dict[str, str]) -> bool:
     if tag in ("html", "body"):
         return False
-    if tag in DROPPED or attributes.get("role", "").lower() in ROLES:
+    if tag in UNREAD:
+        return True
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
+    return "style" in attributes and re.search(r"display\s*:\s*none", attributes["style"]) is not None
+
+
+def _is_clutter(tag: str, attributes: dict[str, str]) -> bool:
+    if tag in ("html", "body"):
+        return False
+    if tag in MARKED or attributes.get("role", "").lower() in ROLES:
         return True
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     return any(w.lower() in CLUTTER for w in _WORDS.findall(names))
 
 
+# node, text, length in the source, length inside links
+Piece = tuple[int, str, int, int]
+# node, whether it is in a paragraph, pieces
+Block = tuple[int, bool, list[Piece]]
+
+
+def _wrappers(nodes: list[Node], read: list[Block]) -> set[int]:
+    """The elements marked as clutter that wrap the article all the same.
+
+    A mark is a penalty: what it holds is weighed, in unlinked text and in unlinked text of paragraphs, against the
+    rest of the page, and it stays if it holds the greater part of either. An article, main or h1 on one side only
+    makes that side count ``LANDMARK_FACTOR`` times; an element with the page's only landmarks, an article or main
+    among them, always stays, and a header, footer or aside beside an article or main never does. The smallest are
+    settled first, and what is dropped no longer counts for the rest; so comments, sidebars and adverts inside a
+    wrapper are judged by themselves and the largest never falls to their sum.
+    """
+    # by mark: unlinked text, that of paragraphs, articles and mains, first headings
+    held = {i: [0.0, 0.0, 0, 0] for i, node in enumerate(nodes) if i == 0 or node.mark == i}
+    if len(held) == 1:
+        return set()
+    for _, paragraph, pieces in read:
+        sums: dict[int, float] = {}
+        for at, text, _, linked in pieces:
+            mark = nodes[at].mark
+            sums[mark] = sums.get(mark, 0.0) + len(text.strip()) - 2.0 * linked
+        for mark, unlinked in sums.items():
+            if unlinked > 0:
+                held[mark][0] += unlinked
+                if paragraph:
+                    held[mark][1] += unlinked
+    landmarks = {i: 2 if node.tag in BONUS else 3 for i, node in enumerate(nodes) if (node.tag in BONUS or node.tag == "h1") and not node.dropped and node.mark != i}
+    for i, kind in landmarks.items():
+        held[nodes[i].mark][kind] += 1
+    above = {m: nodes[nodes[m].parent].mark for m in held if m}
+    for m in sorted(above, reverse=True):
+        held[above[m]] = [a + b for a, b in zip(held[above[m]], held[m], strict=True)]
+    kept = set()
+    for m in sorted(above, key=lambda m: (held[m][0], -m)):  # what lies inside comes first
+        inside = held[m]
+        text, paragraphs, articles, heads = inside
+        if text:
+            outside = [a - b for a, b in zip(held[0], inside, strict=True)]
+            up = nodes[m].parent
+            while up > 0:  # what holds the element as well is no rival
+                if up in landmarks:
+                    outside[landmarks[up]] -= 1
+                up = nodes[up].parent
+            mine, other = articles or heads, outside[2] or outside[3]
+            factor = LANDMARK_FACTOR if mine and not other or articles and not outside[2] else 1 / LANDMARK_FACTOR if other and not mine else 1
+            most = text * factor > outside[0] or paragraphs * factor > outside[1]
+            beside = nodes[m].tag in BESIDE and outside[2] and not articles
+            if articles and not other or most and not beside:
+                kept.add(m)
+                continue
+        up = m
+        while up:
+            up = above[up]
+            held[up] = [a - b for a, b in zip(held[up], inside, strict=True)]
+    return kept
+
+
+def _settle(page: Page, read: list[Block]) -> None:
+    """Drops what is marked as clutter and no wrapper of the article, and joins the text blocks of the rest."""
+    nodes = page.nodes
+    kept = _wrappers(nodes, read)
+    gone = {0: False}
+    for i, node in enumerate(nodes):
+        if node.mark == i and i:
+            gone[i] = gone[nodes[node.parent].mark] or i not in kept
+        if gone[node.mark]:
+            node.dropped = True
+    for at, _, pieces in read:
+        stay = []
+        for piece in pieces:
+            if gone[nodes[piece[0]].mark]:
+                nodes[piece[0]].every += piece[2]
+            else:
+                stay.append(piece)
+        text = " ".join("".join([piece[1] for piece in stay]).split())
+        if text:
+            page.blocks.append((at, text))
+            nodes[at].value += max(0.0, len(text) - 2.0 * sum([piece[3] for piece in stay]))
+            nodes[at].every += len(text)
+
+
 def parse(source: str) -> Page:
     """Elements and text blocks of a page, unclosed and stray tags included.
 
     A block is the text between two block-level tags; character references are decoded and white space,
     line breaks included, becomes one space. Text of dropped elements counts against its containers only,
-    but headings in an article's own header stay.
+    but headings in an article's own header stay. An element marked as clutter is dropped unless it wraps the
+    article, which is decided once the whole page is read (``_settle``).
     """
     page = Page()
     nodes = page.nodes
     nodes.append(Node("html", "", -1, False))
     stack = [0]
-    pieces: list[str] = []
-    linked = 0
+    read: list[Block] = []
+    pieces: list[Piece] = []
 
     def flush() -> None:
-        nonlocal linked
         if pieces:
-            text = " ".join("".join(pieces).split())
+            read.append((stack[-1], any(nodes[i].tag == "p" for i in stack[-4:]), pieces.copy()))
             pieces.clear()
-            if text:
-                page.blocks.append((stack[-1], text))
-                nodes[stack[-1]].value += max(0.0, len(text) - 2.0 * linked)
-                nodes[stack[-1]].every += len(text)
-        linked = 0
 
     def spoken(raw: str) -> None:
-        nonlocal linked
         if not raw:
             return
         top = nodes[stack[-1]]
@@ -118,9 +212,8 @@ def parse(source: str) -> Page:
             top.every += len(raw.strip())
             return
         text = entities.unescape(raw) if "&" in raw else raw
-        pieces.append(text)
-        if any(nodes[i].tag == "a" for i in stack[-4:]):
-            linked += len(text.strip())
+        linked = len(text.strip()) if any(nodes[i].tag == "a" for i in stack[-4:]) else 0
+        pieces.append((stack[-1], text, len(raw.strip()), linked))
 
     def close_to(depth: int) -> None:
         del stack[max(1, depth):]
@@ -137,7 +230,7 @@ def parse(source: str) -> Page:
             continue
         if tag == "br":
             if not nodes[stack[-1]].dropped:
-                pieces.append(" ")
+                pieces.append((stack[-1], " ", 0, 0))
             continue
         if tag in BLOCK:
             flush()
@@ -175,14 +268,17 @@ def parse(source: str) -> Page:
                 at = end.end() if end else len(source) if tag in ("script", "style") else at
             continue
         up = nodes[stack[-1]]
-        dropped = up.dropped or _is_clutter(tag, attributes)
-        if up.dropped and tag in HEADINGS and up.tag == "header" and any(nodes[i].tag in BONUS for i in stack):
+        dropped = up.dropped or _is_unread(tag, attributes)
+        mark = len(nodes) if not dropped and _is_clutter(tag, attributes) else up.mark
+        if tag in HEADINGS and up.tag == "header" and any(nodes[i].tag in BONUS for i in stack):
             dropped = any(nodes[i].dropped for i in stack[:-1])
+            mark = nodes[stack[-2]].mark
         names = ".".join(sorted(set(_DIGITS.sub("0", attributes.get("class", "")).split())))
-        nodes.append(Node(tag, f"{up.path}/{tag}{'.' + names if names else ''}", stack[-1], dropped))
+        nodes.append(Node(tag, f"{up.path}/{tag}{'.' + names if names else ''}", stack[-1], dropped, mark))
         if not ((m["attributes"] or "").rstrip().endswith("/") and tag not in BLOCK):
             stack.append(len(nodes) - 1)
     flush()
+    _settle(page, read)
     for node in reversed(nodes[1:]):  # children come behind their parents
         nodes[node.parent].value += node.value
         nodes[node.parent].every += node.every
@@ -223,7 +319,7 @@ def extract_text(steps: DataFrame, observation: str = "observation", url: str =
     added up per host of ``url`` in Spark, and every page is read again at the first of its host's
     ``paths_per_host`` strongest paths that it has, or at its own best container if it has none. Pages without a
     host use their own. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-    comments are dropped. A null or empty observation has an empty text. Each page is parsed in place and a hot host
+    comments are dropped; an element that is only named like one and wraps the article is not. A null or empty observation has an empty text. Each page is parsed in place and a hot host
     only adds to its partial sums; the table of winning paths is broadcast when its counted size is small, and
     joined by host, with adaptive skew handling, beyond that.
     """

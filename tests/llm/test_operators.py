@@ -304,3 +304,20 @@ def test_pages_are_read_by_their_hosts_paths(spark):
     assert {got[i] for i in range(6)} == {"Head\nFirst & bold text\nSecond line"}
     assert (got[6], got[7], got[8], got[9]) == ("", "", "only text", "other <")
     assert html.extract_text(steps.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("opening, closing", [
+    ('<div class="content no-sidebar">', "</div>"), ('<div id="main-with-sidebar">', "</div>"), ('<div class="post comment-open">', "</div>"),
+    ('<form id="aspnetForm"><div class="page with-sidebar">', "</div></form>"), ('<aside><main>', "</main></aside>"),
+    ('<main><div class="post comment-open">', "</div></main>"),
+])
+def test_wrappers_named_like_clutter_keep_their_article(opening, closing):
+    story = "<h1>Head</h1><p>First long paragraph of the story.</p><p>Second paragraph of it.</p><div class=ad>buy</div>"
+    clutter = "<div class=sidebar>side text</div><div id=comments>" + "<div class=comment><p>a reader says something here</p></div>" * 5 + "</div>"
+    want = "Head\nFirst long paragraph of the story.\nSecond paragraph of it."
+    for inner, outer in ((clutter, ""), ("", clutter)):
+        page = html.parse(f"<html><body><header>Site</header>{opening}{story}{inner}{closing}{outer}<footer>foot</footer></body></html>")
+        assert html.text_at(page, [html.best_path(page)[0]]) == want
+    # comments without marks of their own, longer than the article beside them
+    page = html.parse(f"<body><div class=story>{story}</div><div id=comments><p>{'reader words ' * 12}</p></div></body>")
+    assert html.text_at(page, [html.best_path(page)[0]]) == want
