@@ -130,14 +130,9 @@ def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     links = Links()
     for group in sorted_groups(frames, ["component", "_i", "_j"]):
         texts = group["text"].tolist()
-        sets = [s for lo, hi in text_slices(texts) for s in shingle_sets(texts[lo:hi])]
-        # an id that several rows share brings texts of other classes and repeats along
-        right = sketch_keys(sets) == group["key_a"]
-        right &= ~pd.Series(group["node"]).where(right).duplicated().to_numpy()
-        if right.sum() < 2:
+        if len(texts) < 2:
             continue
-        group = {c: v[right] for c, v in group.items()}
-        sets = [s for s, r in zip(sets, right, strict=True) if r]
+        sets = [s for lo, hi in text_slices(texts) for s in shingle_sets(texts[lo:hi])]
         sizes = np.array([len(s) for s in sets])
         common = overlaps(sets)
         # common / union >= 4 / 5 in whole numbers, for THRESHOLD = 0.8
@@ -150,11 +145,6 @@ def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield links.take()
 
 
-def sketch_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """First hash of each set."""
-    return np.array([words.mixed(s).sum(dtype=np.uint64) if len(s) else np.uint64(0) for s in sets], np.uint64).view(np.int64)
-
-
 def join_segments(segments: DataFrame) -> DataFrame:
     """One row per segment: ``segment_id, n_links, component_id, kept``.
 
@@ -170,11 +160,12 @@ def join_segments(segments: DataFrame) -> DataFrame:
     22 bands of 3 values a pair at 0.8 is missed with probability 7e-7. Neither step writes pairs: a group tells
     link counts and a spanning forest. Hot buckets and components are cut into block pairs, so the work
     for a group of different near copies is quadratic, as its count of links is, but no task is.
-    Repeated ids are rows of their own; extra columns are not carried.
+    Repeated ids are rows of their own; extra columns are not carried. The texts are checkpointed under a row number,
+    and each class ships the text of its first row, however often that row's id is used.
     """
     spark = segments.sparkSession
     bound_batches(spark)
-    texts = segments.select("segment_id", "text")
+    texts = checkpoint(segments.select("segment_id", "text").withColumn("_row", F.monotonically_increasing_id()))
 
     @F.pandas_udf("key_a long, key_b long, shingles long, signature binary")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -185,12 +176,12 @@ def join_segments(segments: DataFrame) -> DataFrame:
             yield pd.DataFrame({"key_a": keys[:, 0], "key_b": keys[:, 1], "shingles": sizes, "signature": [s.tobytes() for s in signature]})
 
     sketch = checkpoint(
-        texts.select("segment_id", F.octet_length("text").alias("bytes"), sketched("text").alias("s"))
-        .select("segment_id", "bytes", "s.*")
+        texts.select("segment_id", "_row", F.octet_length("text").alias("bytes"), sketched("text").alias("s"))
+        .select("segment_id", "_row", "bytes", "s.*")
     )
     classes = checkpoint(
         sketch.filter("shingles > 0").groupBy("key_a", "key_b").agg(
-            F.min("segment_id").alias("rep"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"),
+            F.min("segment_id").alias("rep"), F.min("_row").alias("_row"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"),
             F.first("signature").alias("signature"),
         ).withColumn("node", F.monotonically_increasing_id())
     )
@@ -216,7 +207,7 @@ def join_segments(segments: DataFrame) -> DataFrame:
     )
     components = connected_components(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
     members = checkpoint(
-        components.withColumnRenamed("id", "node").join(classes.drop("signature", "key_b"), "node")
+        components.withColumnRenamed("id", "node").join(classes.select("node", "_row", "copies", "bytes"), "node")
     )
     sizes = members.groupBy("component").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("bytes") / BLOCK_BYTES)).alias("_wanted")
@@ -225,14 +216,14 @@ def join_segments(segments: DataFrame) -> DataFrame:
     few, _ = broadcast_if_small(cut, 80)
     keys = ["component", "_i", "_j"]
     links = checkpoint(
-        texts.join(few, F.col("segment_id").eqNullSafe(F.col("rep"))).drop("segment_id", "rep")
+        texts.filter("text is not null").select("_row", "text").join(few, "_row").drop("_row")
         .repartition(*keys).sortWithinPartitions(*keys)
         .mapInPandas(_verified, "node long, links long, root long")
     )
     joined = connected_components(links.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
     counts = links.groupBy("node").agg(F.sum("links").alias("_links"))
     told = (
-        classes.drop("signature", "bytes").join(joined.withColumnRenamed("id", "node"), "node", "left").join(counts, "node", "left")
+        classes.drop("signature", "bytes", "_row").join(joined.withColumnRenamed("id", "node"), "node", "left").join(counts, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
     smallest = told.groupBy("component").agg(F.min("rep").alias("component_id"))

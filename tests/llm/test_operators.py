@@ -264,6 +264,33 @@ def test_near_duplicates_lose_no_link(spark, monkeypatch):
     assert jaccard.join_segments(segments(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_rows_of_repeated_and_null_ids_link_by_their_own_texts(spark):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for k in range(12):
+        own = [rnd.choice(words) for _ in range(140)]
+        for n in range(4):
+            copy = list(own)
+            copy[rnd.randrange(140)] = rnd.choice(words)
+            rows.append(((None, 7, 7, 100 + k)[n], " ".join(copy)))
+    rows += [(7, None), (None, None), (7, ""), (None, " "), (7, None), (None, rows[0][1]), (7, rows[1][1]), (7, rows[1][1])]
+    sets = []
+    for _, text in rows:
+        w = WORD.findall(text or "")
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    count, low = collections.Counter(x for pair in links for x in pair), components(range(len(rows)), links)
+    want = collections.Counter()
+    for i, (own, _) in enumerate(rows):
+        ids = [rows[j][0] for j in low if low[j] == low[i] and rows[j][0] is not None] if sets[i] else [own]
+        least = min(ids, default=None)
+        want[own, count[i], least, own == least] += 1
+    table = spark.createDataFrame(rows, "segment_id long, text string")
+    got = collections.Counter(tuple(r) for r in jaccard.join_segments(table).select("segment_id", "n_links", "component_id", "kept").collect())
+    assert len(links) > 50 and got == want
+
+
 def test_pruning_keeps_pairs_that_may_reach_the_threshold():
     limits = jaccard.least_matches()
     assert [n for n, _ in limits] == [11, 22, 33, 44, 55, 66]
