@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemill.llm import bpe, chat, html, jaccard, language, mixing, pii, quality, sharding, vectors
+from stridemill.llm import bpe, chat, html, jaccard, language, mixing, pii, quality, repeats, sharding, vectors, whitening
 from stridemill.llm.checks import ORACLE_SQL  # noqa: F401
 from stridemill.plans.fixtures import table
 
@@ -119,3 +119,37 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("observation"))
     return html.extract_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("segment_id"), F.col("embedding").alias("vector"))
+    return whitening.whiten_segments(vectors).select(
+        F.col("segment_id").alias("vec_id"), "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained",
+        "identity_error",
+    )
+
+
+@query
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth text by hash is first made periodic from a word on, as the contract of the query says."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    planted = rows.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumns(
+        {"n": F.size("words").cast("long"), "g": F.floor(F.col("h") / 10)}
+    )
+    planted = planted.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    planted = planted.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    tail = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.element_at("words", (place(i) + 1).cast("int")))
+    text = F.when(F.col("a").isNotNull(), F.array_join(tail, " ")).otherwise(F.col("text"))
+    found = repeats.periodic_runs(planted.select(F.col("doc_id").alias("segment_id"), text.alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.withColumn("_longest", longest).select(
+        F.col("segment_id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), (-F.col("_longest.s")).alias("start"),
+        F.col("_longest.l").alias("length"), (-F.col("_longest.p")).alias("period"),
+        F.floor(1000 * F.col("_longest.l") / -F.col("_longest.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
