@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridemill.llm import bpe, chat, html, jaccard, language, mixing, pii, quality, repeats, sharding, vectors, whitening
+from stridemill.llm import backoff, bpe, chat, html, jaccard, language, mixing, pii, quality, repeats, sharding, vectors, whitening
 from stridemill.llm.checks import ORACLE_SQL  # noqa: F401
 from stridemill.plans.fixtures import table
 
@@ -121,6 +121,14 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+@query
+def op11_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.encode(F.col("segment_id").cast("string"), "UTF-8")) % 5 == 1
+    return backoff.score_segments(segments(spark, sf_dir), ~held).select(
+        F.col("segment_id").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("segment_id"), F.col("embedding").alias("vector"))

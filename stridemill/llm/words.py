@@ -84,7 +84,10 @@ class Slice:
 
 
 def tabulate(texts: list[str]) -> Slice:
-    raw = [t.encode("utf-8", "replace") for t in texts]
+    return tabulate_bytes([t.encode("utf-8", "replace") for t in texts])
+
+
+def tabulate_bytes(raw: list[bytes]) -> Slice:
     buffer = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     text_end = np.cumsum(sizes + 1) - 1
