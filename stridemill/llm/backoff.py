@@ -26,22 +26,21 @@ from stridemill.scale import checkpoint
 
 ORDER = 3
 PRIOR = 0.5
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 4_000_000
 PIECE_CHARS = 1_000_000
 SHARD_GRAMS = 2_000_000
 SPARE_BITS = 24
 
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _SPACE, _WORD = re.compile(r"[\x20\x09-\x0D]"), re.compile(r"[^\x20\x09-\x0D]+")
-_CODEC = pa.Codec("zstd", compression_level=1)
 
 
-def _shrink(raw: bytes) -> bytes:
-    return _CODEC.compress(raw, asbytes=True)
+def _shrink(raw: bytes, level: int) -> bytes:
+    return pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def _grow(body: bytes, size: int) -> bytes:
-    return _CODEC.decompress(body, decompressed_size=size, asbytes=True) if size else b""
+    return pa.Codec("zstd").decompress(body, decompressed_size=size, asbytes=True) if size else b""
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -84,16 +83,13 @@ def text_pieces(text: str, order: int, limit: int) -> Iterator[Piece]:
 
 
 class Tokens:
-    """Tokens of a batch of pieces in one sequence, and the distinct n-grams of every order.
+    """Tokens of a batch of pieces in one sequence, and the hashes of the n-grams that end at each of them."""
 
-    ``index[k][i]`` is the number, among the distinct ones, of the n-gram of k + 1 tokens that ends at token i (-1 where it
-    would begin before the piece), ``hashes[k]`` their hashes in order, ``where[k]`` one position of each.
-    """
-
-    def __init__(self, raw: list[bytes], lead: np.ndarray, fresh: np.ndarray, opens: np.ndarray, closes: np.ndarray, train: np.ndarray, order: int, bits: int):
+    def __init__(self, raw: list[bytes], lead: np.ndarray, fresh: np.ndarray, opens: np.ndarray, closes: np.ndarray, train: np.ndarray, bits: int):
         table = words.tabulate_bytes(raw)
         counts = table.last - table.first
         sizes = counts + fresh + closes
+        self.bits = bits
         self.end = np.cumsum(sizes)
         self.start = self.end - sizes
         total = int(self.end[-1]) if len(sizes) else 0
@@ -103,26 +99,37 @@ class Tokens:
         token[self.end[closes] - 1] = _END
         self.owner = np.repeat(np.arange(len(sizes)), sizes)
         self.body = self.start + fresh + lead
-        self.scored = np.arange(total) >= self.body[self.owner]
+        self.place = np.arange(total) - self.start[self.owner]
+        self.scored = self.place >= (fresh + lead)[self.owner]
         mark = np.zeros(total, bool)
         mark[self.start[fresh & opens]] = True
         self.weight = train[self.owner] & (self.scored | mark)
-        rolling = words.Rolling(token)
-        at = np.arange(total)
-        self.index, self.hashes, self.where = [], [], []
-        for k in range(order):
-            ends = at[at - k >= self.start[self.owner]]
-            keys = token[ends] if k == 0 else rolling.ranges(ends - k, ends + 1) >> np.uint64(64 - bits)
-            distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-            index = np.full(total, -1, np.int64)
-            index[ends] = which
-            self.index.append(index)
-            self.hashes.append(distinct)
-            self.where.append(ends[first])
-
-    def training_counts(self, k: int) -> np.ndarray:
-        use = self.weight & (self.index[k] >= 0)
-        return np.bincount(self.index[k][use], minlength=len(self.hashes[k])).astype("<u4")
+        self.token, self.rolling = token, words.Rolling(token)
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where n-grams of ``k + 1`` tokens end, and their hashes; none begins before its piece."""
+        ends = np.flatnonzero(self.place >= k)
+        return ends, self.token[ends] if k == 0 else self.rolling.ranges(ends - k, ends + 1) >> np.uint64(64 - self.bits)
+
+    def questions(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams by hash, and how often each occurs in training."""
+        ends, keys = self.grams(k)
+        asked = np.sort(keys)
+        asked = asked[np.concatenate(([True], asked[1:] != asked[:-1]))] if len(asked) else asked
+        trained = np.sort(keys[self.weight[ends]])
+        first = np.searchsorted(trained, asked)
+        return asked, (np.searchsorted(trained, asked, side="right") - first).astype("<u4")
+
+    def numbered(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every position's n-gram among the distinct ones (-1 without one), and a position of each."""
+        ends, keys = self.grams(k)
+        order = np.argsort(keys)
+        ranked = keys[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = ranked[1:] != ranked[:-1]
+        index = np.full(len(self.token), -1, np.int64)
+        index[ends[order]] = np.cumsum(fresh) - 1
+        return index, ends[order[fresh]]
 
 
 def _shards(hashes: np.ndarray, bits: int, shards: int) -> np.ndarray:
@@ -136,59 +143,52 @@ class Automaton:
 
     From a state an arc leaves for every word seen behind it, with the word's smoothed log-probability, to the longest
     seen n-gram that ends there. For other words the failure arc leads to the state without its first word, at the
-    logarithm of the weight its interpolation gives the shorter history. The root has an arc for every word.
+    logarithm of the weight its interpolation gives the shorter history. The root has an arc for every word. An arc is
+    found by the n-gram of the state and the word, so a batch numbers its n-grams once and no table is searched.
     """
 
     def __init__(self, tokens: Tokens, counts: list[np.ndarray], total: int, distinct: int, means: list[float]):
         order = len(counts)
-        self.words = len(counts[0])
         chance = (counts[0] + PRIOR) / (total + PRIOR * (distinct + 1))
-        self.unigram = np.log10(chance)
-        seen = [c > 0 for c in counts]
-        offset, state = 1, []
-        for k in range(order - 1):
-            numbers = np.zeros(len(counts[k]), np.int64)
-            numbers[seen[k]] = offset + np.arange(int(seen[k].sum()))
-            offset += int(seen[k].sum())
-            state.append(numbers)
-        fail, bow = np.zeros(offset, np.int64), np.zeros(offset)
-        keys = [np.arange(self.words)]
-        weights = [self.unigram]
-        targets = [state[0] if order > 1 else np.zeros(self.words, np.int64)]
-        for k in range(order - 1):
-            g = np.flatnonzero(seen[k])
-            if k:
-                fail[state[k][g]] = state[k - 1][tokens.index[k - 1][tokens.where[k][g]]]
-            bow[state[k][g]] = np.log10(means[k + 1] / (counts[k][g] + means[k + 1]))
+        index, _ = tokens.numbered(0)
+        self.known = counts[0][index] > 0
+        self.unigram = np.log10(chance)[index]
+        #: by state order and position: the weight of the arc over the token (NaN without one), of the failure arc before it
+        self.arcs, self.failures = [self.unigram], []
         for k in range(1, order):
-            g = np.flatnonzero(seen[k])
-            at = tokens.where[k][g]
-            history, shorter = tokens.index[k - 1][at - 1], tokens.index[k - 1][at]
-            longer = np.zeros(len(counts[k]))
-            longer[g] = (counts[k][g] + means[k] * chance[shorter]) / (np.maximum(counts[k - 1][history], counts[k][g]) + means[k])
+            shorter, history = index, np.full(len(index), -1, np.int64)
+            history[1:] = index[:-1]
+            bow = np.log10(means[k] / (counts[k - 1] + means[k]))
+            self.failures.append(bow[history])
+            index, where = tokens.numbered(k)
+            g = np.flatnonzero(counts[k] > 0)
+            at = where[g]
+            behind = np.maximum(counts[k - 1][shorter[at - 1]], counts[k][g])
+            longer = np.full(len(counts[k]) + 1, np.nan)
+            longer[g] = (counts[k][g] + means[k] * chance[shorter[at]]) / (behind + means[k])
+            self.arcs.append(np.log10(longer)[index])
             chance = longer
-            keys.append(state[k - 1][history] * self.words + tokens.index[0][at])
-            weights.append(np.log10(longer[g]))
-            targets.append(state[k][g] if k < order - 1 else state[k - 1][shorter])
-        self.arc = dict(zip(np.concatenate(keys).tolist(), range(sum(map(len, keys))), strict=True))
-        self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
-        self.fail, self.bow = fail.tolist(), bow.tolist()
-
-    def read(self, ids: list[int], lead: int) -> float:
-        """Log-probability of the words behind the first ``lead``, which only set the state."""
-        arc, weight, target, fail, bow, size = self.arc.get, self.weight, self.target, self.fail, self.bow, self.words
+
+    def read(self, start: int, end: int, body: int) -> float:
+        """Log-probability of the tokens from ``body`` on, one traversal from the root; those before only set the state."""
+        top = len(self.arcs) - 1
         state, score = 0, 0.0
-        for at, word in enumerate(ids):
-            if at == lead:
+        arcs = zip(*[a[start:end].tolist() for a in self.arcs], strict=True)
+        failures = zip(*[f[start:end].tolist() for f in self.failures], strict=True) if top else [()] * (end - start)
+        at = start
+        for arc, failure, known in zip(arcs, failures, self.known[start:end].tolist(), strict=True):
+            if at == body:
                 score = 0.0
-            step = arc(state * size + word)
-            while step is None:
-                score += bow[state]
-                state = fail[state]
-                step = arc(state * size + word)
-            score += weight[step]
-            state = target[step]
-        return score if len(ids) > lead else 0.0
+            at += 1
+            weight = arc[state]
+            while weight != weight:  # no arc over this token: fail to the state without its first word
+                state -= 1
+                score += failure[state]
+                weight = arc[state]
+            score += weight
+            if state < top and (state or known):
+                state += 1
+        return score if end > body else 0.0
 
 
 def _packed(segments: DataFrame, train: Column, order: int, batch_chars: int, piece_chars: int) -> DataFrame:
@@ -215,7 +215,7 @@ def _packed(segments: DataFrame, train: Column, order: int, batch_chars: int, pi
                     column([r for r, _, _, _ in held], pa.int64()), column([n for _, n, _, _ in held], pa.int32()),
                     column([p.lead for _, _, p, _ in held], pa.int32()), flags("fresh"), flags("opens"), flags("closes"),
                     column([t for _, _, _, t in held], pa.bool_()), column([len(r) for r in raw], pa.int32()),
-                    pa.array([_shrink(b"".join(raw))], pa.binary()),
+                    pa.array([_shrink(b"".join(raw), 9)], pa.binary()),
                 ],
                 names=names,
             )
@@ -237,13 +237,13 @@ def _packed(segments: DataFrame, train: Column, order: int, batch_chars: int, pi
     return segments.select("segment_id", "text", F.coalesce(train, F.lit(False))).mapInArrow(packed, schema)
 
 
-def _tokens(row: dict, order: int, bits: int) -> Tokens:
+def _tokens(row: dict, bits: int) -> Tokens:
     sizes = np.asarray(row["sizes"], np.int64)
     raw = _grow(row["body"], int(sizes.sum()))
     ends = np.cumsum(sizes)
     pieces = [raw[lo:hi] for lo, hi in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
     marks = [np.asarray(row[n], bool) for n in ("fresh", "opens", "closes", "train")]
-    return Tokens(pieces, np.asarray(row["lead"], np.int64), *marks, order, bits)
+    return Tokens(pieces, np.asarray(row["lead"], np.int64), *marks, bits)
 
 
 def _asked(packed: DataFrame, order: int, bits: int, shards: int) -> DataFrame:
@@ -252,8 +252,9 @@ def _asked(packed: DataFrame, order: int, bits: int, shards: int) -> DataFrame:
     def asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.to_dict("records"):
-                tokens = _tokens(row, order, bits)
-                grams = [(h, tokens.training_counts(k), _shards(h, 64 if k == 0 else bits, shards)) for k, h in enumerate(tokens.hashes)]
+                tokens = _tokens(row, bits)
+                grams = [tokens.questions(k) for k in range(order)]
+                grams = [(h, n, _shards(h, 64 if k == 0 else bits, shards)) for k, (h, n) in enumerate(grams)]
                 del tokens
                 out = {"shard": [], "sizes": [], "body": []}
                 for s in range(shards):
@@ -265,7 +266,7 @@ def _asked(packed: DataFrame, order: int, bits: int, shards: int) -> DataFrame:
                     if any(sizes):
                         out["shard"].append(s)
                         out["sizes"].append(sizes)
-                        out["body"].append(_shrink(b"".join(parts)))
+                        out["body"].append(_shrink(b"".join(parts), 1))
                 yield pd.DataFrame({"batch": row["batch"], **out})
 
     needed = packed.select("batch", "lead", "fresh", "opens", "closes", "train", "sizes", "body")
@@ -273,7 +274,7 @@ def _asked(packed: DataFrame, order: int, bits: int, shards: int) -> DataFrame:
 
 
 def _answered(asked: DataFrame, order: int) -> DataFrame:
-    """Total counts in the order in which each batch asked.
+    """What other batches add to each batch's counts, in the order in which it asked.
 
     ``seen`` holds, on one row of every range, its number of distinct training n-grams by order and its tokens.
     """
@@ -297,11 +298,11 @@ def _answered(asked: DataFrame, order: int) -> DataFrame:
             tokens = tokens if k else int(sums.sum())
             ends = np.cumsum(sizes[:, k])
             for i, (lo, hi) in enumerate(zip((ends - sizes[:, k]).tolist(), ends.tolist(), strict=True)):
-                told[i].append(_planes(sums[which[lo:hi]]))
+                told[i].append(_planes(sums[which[lo:hi]] - counts[i]))
         seen.append(tokens)
         none = [0] * len(seen)
         return pd.DataFrame({
-            "batch": [r[0] for r in rows], "shard": shard, "sizes": sizes.tolist(), "body": [_shrink(b"".join(t)) for t in told],
+            "batch": [r[0] for r in rows], "shard": shard, "sizes": sizes.tolist(), "body": [_shrink(b"".join(t), 9) for t in told],
             "seen": [seen if i == 0 else none for i in range(len(rows))],
         })
 
@@ -328,25 +329,26 @@ def _scored(packed: DataFrame, answers: DataFrame, order: int, bits: int, total:
     schema = f"segment_id {kind}, row long, part int, n_tokens long, n_known long, base_score double, score double"
 
     def score(row: dict, ids: pa.Array, answers: list[tuple[list[int], bytes]]) -> pa.RecordBatch:
-        tokens = _tokens(row, order, bits)
+        tokens = _tokens(row, bits)
         parts: list[list[np.ndarray]] = [[] for _ in range(order)]
         for sizes, body in answers:
             raw, at = _grow(body, 8 * sum(sizes)), 0
             for k, n in enumerate(sizes):
                 parts[k].append(_values(raw[at : at + 8 * n], "<u8"))
                 at += 8 * n
-        counts = [np.concatenate(p).astype(np.int64) for p in parts]
+        counts = []
+        for k, more in enumerate(parts):
+            counts.append(np.concatenate(more).astype(np.int64) + tokens.questions(k)[1])
         machine = Automaton(tokens, counts, total, vocabulary, means)
         pieces = len(tokens.start)
-        read = tokens.index[0].tolist()
-        lead = (tokens.body - tokens.start).tolist()
-        scores = [machine.read(read[a:b], n) for a, b, n in zip(tokens.start.tolist(), tokens.end.tolist(), lead, strict=True)]
-        at, owner = tokens.index[0][tokens.scored], tokens.owner[tokens.scored]
+        spans = zip(tokens.start.tolist(), tokens.end.tolist(), tokens.body.tolist(), strict=True)
+        scores = [machine.read(start, end, body) for start, end, body in spans]
+        owner = tokens.owner[tokens.scored]
         return pa.RecordBatch.from_arrays(
             [
                 ids, pa.array(row["row"], pa.int64()), pa.array(row["part"], pa.int32()), pa.array(np.bincount(owner, minlength=pieces).astype(np.int64)),
-                pa.array(np.bincount(owner, counts[0][at] > 0, pieces).astype(np.int64)),
-                pa.array(np.bincount(owner, machine.unigram[at], pieces)), pa.array(np.array(scores, np.float64)),
+                pa.array(np.bincount(owner, machine.known[tokens.scored], pieces).astype(np.int64)),
+                pa.array(np.bincount(owner, machine.unigram[tokens.scored], pieces)), pa.array(np.array(scores, np.float64)),
             ],
             names=["segment_id", "row", "part", "n_tokens", "n_known", "base_score", "score"],
         )
@@ -383,8 +385,8 @@ def score_segments(
     words seen behind a history of that order; order 1 is the unigram model. Nothing is pruned and no count is capped.
 
     A null text is an empty one and holds the end token only; a null ``train`` is false. Without training segments all tokens
-    are unknown. Words are told apart by 64-bit hashes, longer n-grams by as many bits as their number needs and
-    ``SPARE_BITS`` more, so that a lookup meets a stranger with probability 2 ** -24. Texts above ``piece_chars`` are cut between
+    are unknown. Words are told apart by 64-bit hashes, longer n-grams by as many bits as the number of tokens
+    needs and ``SPARE_BITS`` more, so that a lookup meets a stranger with probability 2 ** -24. Texts above ``piece_chars`` are cut between
     words, with the words before the cut as context, and added up in order. Repeated and null ids are rows of their own. Other
     columns are not carried; an empty table gives an empty result.
 
@@ -393,9 +395,8 @@ def score_segments(
     """
     bound_batches(segments.sparkSession, 64)
     chars = segments.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    grams = chars // 5 * order
-    shards = max(1, math.ceil(grams / shard_grams))
-    bits = min(64, max(40, grams.bit_length() + SPARE_BITS))
+    shards = max(1, math.ceil(chars // 5 * order / shard_grams))
+    bits = min(64, max(40, (chars // 6).bit_length() + SPARE_BITS))
     packed = checkpoint(_packed(segments, train, order, batch_chars, piece_chars))
     bound_batches(segments.sparkSession, 32)
     answers = checkpoint(_answered(_asked(packed, order, bits, shards), order))
