@@ -33,6 +33,50 @@ def test_nearest_with_copies(spark, block_rows):
     assert got == expected
 
 
+def clustered(rng, size, centres, width=0.05, dim=12):
+    return rng.normal(size=(centres, dim))[rng.integers(0, centres, size)] + rng.normal(scale=width, size=(size, dim))
+
+
+@pytest.mark.parametrize("cells", [1, 8, 64])
+@pytest.mark.parametrize("spread", ["clusters", "everywhere"])
+def test_nearest_is_exact_for_any_number_of_cells(spark, cells, spread):
+    rng = np.random.default_rng(cells)
+    vectors = clustered(rng, 600, 20) if spread == "clusters" else rng.normal(size=(600, 12))
+    vectors[5] = 0.0
+    report = {}
+    got = neighbours.nearest(frame(spark, vectors), 4, 32, cells, (2, 5), report).collect()
+    vectors[5, 0] = 1e-300
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    sims = np.maximum(np.round(unit @ unit.T, 12), 0)
+    np.fill_diagonal(sims, -1)
+    expected = {(i, int(j)) for i in range(600) for j in np.lexsort((np.arange(600), -sims[i]))[:4]}
+    assert {(r["src"], r["dst"]) for r in got} == expected and len(got) == 2400
+    assert report["rows"] == 600 and report["cells"] == cells
+
+
+def test_visited_cells_per_row_stay_flat_as_rows_grow(spark):
+    copies = []
+    for size in (1_000, 10_000):
+        report = {}
+        vectors = clustered(np.random.default_rng(3), size, size // 50, 0.02)
+        found = neighbours.nearest(frame(spark, vectors), 3, 64, report=report)
+        assert found.count() == 3 * size
+        copies.append(report["copies_per_row"])
+        assert report["cells"] == int(size**0.5)
+    assert copies[1] <= 1.5 * copies[0] + 1
+
+
+def test_forest_labels_are_smallest_members():
+    rng = np.random.default_rng(4)
+    for size in (1, 30, 500):
+        a, b = rng.integers(0, size, (2, size // 2 + 1))
+        label = np.arange(size)
+        for _ in range(size):
+            for x, y in zip(a, b, strict=True):
+                label[[x, y]] = min(label[x], label[y])
+        assert (neighbours._components(size, a, b) == label).all()
+
+
 def test_nearest_falls_back_to_smallest_ids(spark):
     got = neighbours.nearest(frame(spark, np.eye(5)), 2).orderBy("src", "dst").collect()
     assert [(r["src"], r["dst"]) for r in got] == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (3, 0), (3, 1), (4, 0), (4, 1)]
@@ -49,9 +93,10 @@ def test_similar_links_span_components(spark):
     label = np.arange(120)
     for _ in range(120):
         label = np.where(near, label[None, :], 999).min(axis=1)
-    links = checkpoint(neighbours.similar_links(rows, 0.985, "level", block_rows=16).filter("a <> b"))
-    got = {r["id"]: r["component"] for r in connected_components(links).collect()}
-    assert all(got.get(i, i) == label[i] for i in range(120))
+    for cells in (None, 1, 20):
+        links = checkpoint(neighbours.similar_links(rows, 0.985, "level", 16, cells).filter("a <> b"))
+        got = {r["id"]: r["component"] for r in connected_components(links).collect()}
+        assert all(got.get(i, i) == label[i] for i in range(120))
 
 
 def test_eigenvalues_match_dense(spark):
