@@ -25,13 +25,13 @@ def token_bucket(token, dim: int):
     return F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long") % dim
 
 
-def hashing_embedder(texts: DataFrame, dim: int = DIM) -> DataFrame:
-    """Default embedder: token counts hashed into ``dim`` buckets. Adds ``vector`` and ``tokens``.
+def hashing_embedder(texts: DataFrame, dim: int = DIM, column: str = "text") -> DataFrame:
+    """Default embedder: token counts of ``column`` hashed into ``dim`` buckets. Adds ``vector`` and ``tokens``.
 
     Tokens and buckets are built-in expressions; the Arrow stage only counts
     buckets for a whole batch at once.
     """
-    hashed = texts.withColumn("_b", F.transform(tokenize(F.col("text")), lambda t: token_bucket(t, dim).cast("int")))
+    hashed = texts.withColumn("_b", F.transform(tokenize(F.col(column)), lambda t: token_bucket(t, dim).cast("int")))
 
     def count(batches):
         for batch in batches:
@@ -76,7 +76,9 @@ def batched(function: Callable[[list[str]], list[list[float]]], batch_size: int
 
 
 def embed(rows: DataFrame, text: str, embedder: Embedder = hashing_embedder, dim: int = DIM) -> DataFrame:
-    """Add ``vector`` and ``tokens`` to ``rows``. Equal texts are embedded once."""
+    """Add ``vector`` and ``tokens`` to ``rows``. Equal texts are embedded once, or in place where that is cheaper than a join."""
+    if embedder is hashing_embedder:
+        return hashing_embedder(rows, dim, text)
     distinct = rows.select(F.col(text).alias("text")).distinct()
     vectors = embedder(distinct, dim).withColumnRenamed("text", "_text")
     return lookup_join(rows.withColumn("_text", F.col(text)), vectors, ["_text"]).drop("_text")

@@ -1,28 +1,24 @@
 """Skill scores and retrieval for many tasks at once.
 
-The library is cut into blocks of at most ``BLOCK`` skills. A block becomes a
-token table with one weight column per skill; every task meets it once and
-keeps its running sums, so a task costs its own tokens, not tokens times
-skills, and nothing but sums is shuffled. Only the best few skills per task
-leave a block, and a last ranking merges the blocks.
+The tasks are read and tokenised once. The library is an index that every task holds (``operators.postings``), in
+slices of bounded size; a task skips the blocks of skills that cannot reach its best few, and nothing but hits
+leaves the pass. Only a library of several slices needs a last ranking across them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stridemill.functions.numeric import saturating_cost
 from stridemill.functions.text import tokenize
 from stridemill.operators.embedding import DIM, Embedder, embed, hashing_embedder
+from stridemill.operators.postings import BLOCK, INDEX_BYTES, Slice, VectorSide, best_skills, slice_ranges, stored_if_read_twice, term_bytes, text_side
 from stridemill.operators.skills import skill_text
-from stridemill.scale import broadcast_if_small, checkpoint, lookup_join, top_rows
-
-BLOCK = 64
+from stridemill.scale import checkpoint, top_rows
 
 
 def _nz(name: str) -> Column:
@@ -109,54 +105,6 @@ def skill_terms(skills: DataFrame) -> DataFrame:
     return unit_terms(term_counts(skills.select("pos", skill_text().alias("_t")), ["pos"], F.col("_t")), "pos")
 
 
-def blocks(skills: DataFrame, size: int = BLOCK) -> Iterator[tuple[int, int, DataFrame]]:
-    """(first position, skills in the block, block), a few dozen skills at a time."""
-    last = skills.agg(F.max("pos")).first()[0]
-    for start in range(0, 0 if last is None else last + 1, size):
-        yield start, min(size, last + 1 - start), skills.filter(F.col("pos").between(start, start + size - 1))
-
-
-def sparse_sims(task_terms: DataFrame, keys: list[str], block_terms: DataFrame, start: int, size: int,
-                name: str = "sims") -> DataFrame:
-    """``keys, sims``: cosine of every task with each skill of one block.
-
-    The token table of the block is broadcast only if its measured size allows,
-    otherwise tasks are salted over it.
-    """
-    wide = block_terms.filter(F.col("token").isNotNull()).groupBy("token").agg(*[
-        F.sum(F.when(F.col("pos") == start + i, F.col("w")).otherwise(0.0)).alias(f"w{i}") for i in range(size)
-    ])
-    table, small = broadcast_if_small(checkpoint(wide), 8 * size + 64)
-    joined = task_terms.join(table, "token", "left") if small else lookup_join(task_terms, table, ["token"], "left")
-    sums = [F.sum(F.col("c") * F.coalesce(f"w{i}", F.lit(0.0))).alias(f"d{i}") for i in range(size)]
-    summed = joined.groupBy(*keys).agg(F.sum(F.col("c") * F.col("c")).alias("_n"), *sums)
-    length = F.greatest(F.sqrt("_n"), F.lit(1e-12))
-    return summed.select(*keys, F.array(*[F.col(f"d{i}") / length for i in range(size)]).alias(name))
-
-
-def vector_sims(tasks: DataFrame, keys: list[str], block: DataFrame, start: int, size: int) -> DataFrame:
-    """As ``sparse_sims`` for dense vectors; the block's matrix is at most ``BLOCK`` rows."""
-    rows = block.select("pos", "vector").collect()
-    if any(r["vector"] is None for r in rows):
-        raise ValueError("embedding retrieval needs a vector for every skill")
-    matrix = np.zeros((size, len(rows[0]["vector"])))
-    for r in rows:
-        matrix[r["pos"] - start] = r["vector"]
-    lengths = np.linalg.norm(matrix, axis=1)
-
-    def run(batches):
-        for batch in batches:
-            column = batch.column("vector")
-            v = np.asarray(column.flatten()).reshape(len(column), -1) if len(column) else np.zeros((0, matrix.shape[1]))
-            sims = (v @ matrix.T) / np.maximum(np.linalg.norm(v, axis=1)[:, None] * lengths[None, :], 1e-12)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * size), pa.array(sims.ravel()))
-            yield pa.RecordBatch.from_pydict({**{k: batch.column(k) for k in keys}, "sims": lists})
-
-    narrow = tasks.select(*keys, F.col("vector").cast("array<double>").alias("vector"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields if f.name in keys)
-    return narrow.mapInArrow(run, f"{fields}, sims array<double>")
-
-
 SCORED = [
     "pos", "skill_id", "granularity", "tower_level", "support", "success_rate", "recent_success_rate",
     "recent_reward_lift", "avg_reward", "coverage", "failure_rate", "token_cost", "deployment_utility",
@@ -186,10 +134,11 @@ def retrieve(
     embedder: Embedder = hashing_embedder,
     dim: int = DIM,
     block: int = BLOCK,
+    index_bytes: int = INDEX_BYTES,
 ) -> DataFrame:
     """Best skills per task: ``keys, rank, level, skill_id, pos, score, similarity``.
 
-    ``tasks`` has the keys and ``text`` (or ``vector``). With ``level_top_k``
+    ``tasks`` has the keys, one row each, and ``text`` (or ``vector``). With ``level_top_k``
     the best few of each level are returned in the order of that mapping and
     ``k`` is ignored; ``rank`` then counts inside the level and ``place`` overall.
     """
@@ -201,23 +150,54 @@ def retrieve(
     if kind == "vector":
         if "vector" not in skills.columns:
             skills = checkpoint(embed(skills.withColumn("_t", skill_text()), "_t", embedder, dim).drop("_t"))
+        if skills.filter(F.col("vector").isNull()).limit(1).count():
+            raise ValueError("embedding retrieval needs a vector for every skill")
         if "vector" not in tasks.columns:
             tasks = embed(tasks, "text", embedder, dim)
+        asked, column = tasks.select(*keys, F.col("vector").cast("array<double>").alias("vector")), "vector"
+        sized = skills.select("pos", (F.size("vector") * 8 + 64).alias("bytes"))
+        terms = None
+    else:
+        asked, column = tasks.select(*keys, tokenize(F.col("text")).alias("tokens")), "tokens"
+        terms = checkpoint(skill_terms(skills))
+        sized = term_bytes(terms, block)
+    ranges = slice_ranges(sized, index_bytes, block)
+    if not ranges:
+        return no_skills(tasks, keys)
+    # a score that is no straight line in the similarity is ranked on all pairs of a slice
+    lines = [score(F.lit(x)).alias(f"s{i}") for i, x in enumerate((0.0, 1.0, 0.5))]
+    heads = skills.select("pos", "skill_id", "level", *lines, *(["vector"] if kind == "vector" else []))
+    asked = stored_if_read_twice(asked, len(ranges))
+    limits = [({n}, top) for n, top in level_top_k.items()] if level_top_k else [(None, k)]
     found = None
-    for start, size, part in blocks(skills, block):
-        if kind == "text":
-            sims = sparse_sims(term_counts(tasks, keys, F.col("text")), keys, skill_terms(part), start, size)
+    for low, high in ranges:
+        inside = F.col("pos").between(low, high)
+        rows = heads.filter(inside).toArrow()
+        low_score, high_score, middle = (rows[f"s{i}"].to_numpy().astype(np.float64) for i in range(3))
+        straight = np.allclose(middle, (low_score + high_score) / 2, rtol=1e-9, atol=1e-9)
+        slope = high_score - low_score
+        pos, levels = rows["pos"].to_numpy(), np.array(rows["level"].to_pylist(), dtype=object)
+        part = Slice.of(pos, levels, low_score if straight else np.zeros(len(pos)), slope if straight else np.ones(len(pos)), block)
+        if kind == "vector":
+            side = VectorSide(np.array(rows["vector"].to_pylist(), np.float64).reshape(len(pos), -1), part.blocks)
+        else:
+            side = text_side(terms.filter(inside), pos, part.blocks)
+        names = rows["skill_id"].combine_chunks()
+        if straight:
+            best = best_skills(asked, keys, column, side, part, names, limits)
         else:
-            sims = vector_sims(tasks, keys, part, start, size)
-        pairs = sims.select(*keys, F.posexplode("sims").alias("_i", "similarity"))
-        attributes = part.select(*SCORED, "level").withColumn("_i", (F.col("pos") - start).cast("int"))
-        # at most one row per skill of the block
-        scored = pairs.join(F.broadcast(attributes), "_i").withColumn("score", score(F.col("similarity")))
-        best = _ranked(scored, keys, k, level_top_k).drop("rank")
+            pairs = best_skills(asked, keys, column, side, part, names, [(None, len(pos))])
+            attributes = skills.filter(inside).select(*[c for c in SCORED if c != "skill_id"], F.col("level").alias("_level"))
+            scored = pairs.drop("score", "rank").join(F.broadcast(attributes), "pos").withColumn("score", score(F.col("similarity")))
+            best = _ranked(scored, keys, k, level_top_k).select(best_columns(keys))
         found = best if found is None else found.unionByName(best)
-    if found is None:
-        return no_skills(tasks, keys)
-    return _placed(_ranked(found, keys, k, level_top_k), keys, level_top_k)
+    if len(ranges) > 1:
+        found = _ranked(found.drop("rank"), keys, k, level_top_k)
+    return _placed(found, keys, level_top_k)
+
+
+def best_columns(keys: list[str]) -> list[str]:
+    return [*keys, "rank", "level", "skill_id", "pos", "score", "similarity"]
 
 
 def _constant(tasks, skills, keys, score, k, level_top_k) -> DataFrame:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stridemill.functions.numeric import correlation, saturating_cost
-from stridemill.operators.scoring import blocks, skill_terms, sparse_sims, term_counts, unit_terms
+from stridemill.functions.text import tokenize
+from stridemill.operators.postings import Slice, grid, slice_ranges, stored_if_read_twice, term_bytes, text_side
+from stridemill.operators.scoring import skill_terms, term_counts, unit_terms
 from stridemill.operators.traces import task_texts
-from stridemill.scale import checkpoint, global_rank, lookup_join, top_rows
+from stridemill.scale import broadcast_if_small, checkpoint, global_rank, lookup_join, top_rows
 
 
 def split_tasks(tasks: DataFrame, future_ratio: float, order: list[str]) -> DataFrame:
@@ -76,42 +79,64 @@ def feature_space(skills: DataFrame, tasks: DataFrame, segs: DataFrame) -> DataF
     return both.filter("feature <> ''").distinct()
 
 
+def known_terms(terms: DataFrame, weights: DataFrame, name: str) -> DataFrame:
+    """``task_id, <name>_tokens, <name>_counts, <name>_length``: a task's counts of the features that the library knows.
+
+    The length covers all of its features; the lists hold no more than the library's features.
+    """
+    vocabulary, _ = broadcast_if_small(checkpoint(weights.filter(F.col("token").isNotNull()).select("token", F.lit(True).alias("_known")).distinct()), 64)
+    marked = terms.join(vocabulary, "token", "left")
+    listed = F.collect_list(F.when(F.col("_known"), F.struct("token", "c")))
+    return marked.groupBy("task_id").agg(listed.alias("_l"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias(f"{name}_length")).select(
+        "task_id", F.col("_l.token").alias(f"{name}_tokens"), F.col("_l.c").alias(f"{name}_counts"), f"{name}_length"
+    )
+
+
 def match_grid(tasks: DataFrame, skills: DataFrame, segs: DataFrame, first: int = 8) -> DataFrame:
     """Every (task, skill) cell with its label, template and text match.
 
-    Cells are what the metrics are defined on, so they are all produced, block
-    of skills by block; each comes from per-task sums, not from a cross join.
+    Cells are what the metrics are defined on, so they are all produced; each task brings its features once and meets
+    the library as an index, slice by slice, so no cell comes from a join.
     """
-    texts = task_texts(segs, first).join(tasks.select("task_id"), "task_id", "left_semi")
-    sides = {
-        "label_match": (segment_terms(tasks, segs, "label"), counter_terms(skills, "labels")),
-        "template_match": (segment_terms(tasks, segs, "template"), counter_terms(skills, "action_templates")),
-        "text_match": (term_counts(texts, ["task_id"], F.col("text")), skill_terms(skills)),
-    }
+    # a task without segments or text matches nothing, but stays
+    asked = tasks.select("task_id", "task_pos", "final_reward", "success", "n_steps")
+    weights = {}
+    for name, column, counter in (("label_match", "label", "labels"), ("template_match", "template", "action_templates")):
+        weights[name] = checkpoint(counter_terms(skills, counter))
+        asked = asked.join(known_terms(segment_terms(tasks, segs, column), weights[name], name), "task_id", "left")
+        for part, kind in (("tokens", "array<string>"), ("counts", "array<double>")):
+            asked = asked.withColumn(f"{name}_{part}", F.coalesce(f"{name}_{part}", F.array().cast(kind)))
+        asked = asked.withColumn(f"{name}_length", F.coalesce(f"{name}_length", F.lit(0.0)))
+    weights["text_match"] = checkpoint(skill_terms(skills))
+    texts = task_texts(segs, first).select("task_id", tokenize(F.col("text")).alias("text_match_tokens"))
+    asked = asked.join(texts, "task_id", "left").withColumn(
+        "text_match_tokens", F.coalesce("text_match_tokens", F.array().cast("array<string>")))
+    longest = tasks.agg(F.greatest(F.max("n_steps"), F.lit(1))).scalar()
+    asked = asked.withColumn("efficiency", F.lit(1.0) - F.col("n_steps") / longest)
+    every = weights["label_match"].unionByName(weights["template_match"]).unionByName(weights["text_match"])
+    ranges = slice_ranges(term_bytes(every))
+    if not ranges:
+        raise ValueError("selector evaluation needs at least one skill")
+    asked = stored_if_read_twice(asked, len(ranges))
+    carried = ["task_id", "task_pos", "final_reward", "success", "n_steps", "efficiency"]
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
+    fields = ", ".join(f"{c} {kinds[c]}" for c in carried) + ", pos long, " + ", ".join(f"{n} double" for n in weights)
     cells = None
-    for start, size, part in blocks(skills):
-        row = tasks.select("task_id")
-        for name, (terms, weights) in sides.items():
-            inside = weights.filter(F.col("pos").between(start, start + size - 1))
-            sims = sparse_sims(terms, ["task_id"], inside, start, size, name)
-            # a task without segments or text matches nothing, but stays
-            row = row.join(sims, "task_id", "left").withColumn(name, F.coalesce(name, F.array_repeat(F.lit(0.0), size)))
-        long = row.select("task_id", F.posexplode(F.arrays_zip(*sides)).alias("_i", "m")).select(
-            "task_id", "_i", *[F.col(f"m.{name}") for name in sides]
-        )
-        attributes = part.select(
-            F.col("pos"), "skill_id", "support", "success_rate", "avg_reward", "coverage",
-            F.coalesce("recent_success_rate", "success_rate").alias("recent_success_rate"), "recent_reward_lift",
-            F.coalesce("failure_rate", F.lit(1.0) - F.col("success_rate")).alias("failure_rate"), "token_cost",
-        ).withColumn("_i", (F.col("pos") - start).cast("int"))
-        found = long.join(F.broadcast(attributes), "_i").drop("_i")
+    for low, high in ranges:
+        inside = F.col("pos").between(low, high)
+        pos = skills.filter(inside).select("pos").toArrow()["pos"].combine_chunks()
+        at = pos.to_numpy()
+        same = Slice.of(at, np.zeros(len(at)), np.zeros(len(at)), np.zeros(len(at)))
+        sides = {name: (text_side(w.filter(inside), at, same.blocks), same) for name, w in weights.items()}
+        found = grid(asked, sides, carried, {"pos": pos}, fields)
         cells = found if cells is None else cells.unionByName(found)
-    if cells is None:
-        raise ValueError("selector evaluation needs at least one skill")
-    outcome = tasks.select("task_id", "task_pos", "final_reward", "success", "n_steps")
-    longest = tasks.agg(F.greatest(F.max("n_steps"), F.lit(1))).scalar()
-    timed = outcome.withColumn("efficiency", F.lit(1.0) - F.col("n_steps") / longest)
-    return cells.join(timed, "task_id")
+    attributes = skills.select(
+        F.col("pos"), "skill_id", "support", "success_rate", "avg_reward", "coverage",
+        F.coalesce("recent_success_rate", "success_rate").alias("recent_success_rate"), "recent_reward_lift",
+        F.coalesce("failure_rate", F.lit(1.0) - F.col("success_rate")).alias("failure_rate"), "token_cost",
+    )
+    heads, _ = broadcast_if_small(checkpoint(attributes), 160)
+    return cells.join(heads, "pos")
 
 
 def future_utility() -> Column:
