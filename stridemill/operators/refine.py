@@ -15,14 +15,13 @@ from stridemill.model import Model, columns_of
 from stridemill.operators import skills as sk
 from stridemill.operators.components import connected_components
 from stridemill.operators.embedding import Embedder, embed, embedding_usage, hashing_embedder
+from stridemill.operators.frequent import MAX_SET, frequent_sets, listed_subsets, numbered_sets, record_sets, refused
 from stridemill.operators.neighbours import similar_links
 from stridemill.operators.tower import METHOD, skill_nodes
 from stridemill.scale import checkpoint, global_rank, lookup_join
 
 # fixed values
 UTILITY_WEIGHTS = {"success": 0.45, "reward": 0.35, "step_save": 0.15, "cost": 0.05}
-SUBSET_BITS = 12
-MAX_SET = 30
 
 
 @dataclass(frozen=True)
@@ -228,34 +227,36 @@ def append(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def mid_co_usage(hits: DataFrame, record_keys: list[str], max_set: int = MAX_SET) -> DataFrame:
-    """Every set of two or more mid skills retrieved together, with the number of records.
+    """Every set of two or more mid skills retrieved together, with the number of records: ``mids, count``.
 
-    Equal sets are counted first, so the subsets of a set are listed once
-    however many records share it. The mask is split in two explodes, which
-    keeps every intermediate array small for any set size. The listing doubles with every skill of a set: a
-    record with more than ``max_set`` (at most 62) stops the query with an error, none is counted in part.
+    The listing doubles with every skill of a set: a record with more than ``max_set`` (at most 62) stops the query
+    with an error, none is counted in part. ``used_sets`` has the frequent ones without the listing.
     """
     if max_set > 62:
         raise ValueError("max_set may be 62 at most")
-    mids = hits.filter("granularity = 'mid' and skill_id <> ''")
-    sets = mids.groupBy(*record_keys).agg(F.array_sort(F.collect_set("skill_id")).alias("all"))
-    counted = sets.filter(F.size("all") >= 2).groupBy("all").agg(F.count(F.lit(1)).alias("n"))
-    refused = F.raise_error(F.lit(f"co-usage set of more than {max_set} skills: raise max_set or retrieve fewer")).cast("array<string>")
-    counted = counted.withColumn("all", F.when(F.size("all") > max_set, refused).otherwise(F.col("all")))
-    split = counted.selectExpr(
-        "all", "n",
-        f"explode(sequence(0L, shiftleft(1L, greatest(size(all) - {SUBSET_BITS}, 0)) - 1)) high",
-    ).selectExpr(
-        "all", "n", "high", f"explode(sequence(0L, shiftleft(1L, least(size(all), {SUBSET_BITS})) - 1)) low",
-    ).selectExpr("all", "n", f"high * {1 << SUBSET_BITS} + low mask").filter("bit_count(mask) >= 2")
-    subsets = split.selectExpr("filter(all, (x, i) -> (shiftright(mask, i) & 1) = 1) mids", "n")
-    return subsets.groupBy("mids").agg(F.sum("n").alias("count"))
+    sets = refused(record_sets(hits, record_keys), F.lit(True), max_set)
+    return listed_subsets(sets).groupBy("mids").agg(F.sum("n").alias("count"))
+
+
+def used_sets(hits: DataFrame, record_keys: list[str], o: RefineOptions = RefineOptions()) -> DataFrame:
+    """Sets used together often enough for promotion: ``mids, count, set_index``, the index being the place among all sets."""
+    sets = checkpoint(record_sets(hits, record_keys))
+    return numbered_sets(sets, checkpoint(frequent_sets(sets, o.promote_min_usage)))
+
+
+def promoted_id() -> Column:
+    """Name of a promoted set by its index, which may pass a long."""
+    number = F.col("set_index").cast("string")
+    return F.concat(F.lit("tower_refined_high_"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0")))
 
 
 def promotion_candidates(skills: DataFrame, co_usage: DataFrame, o: RefineOptions = RefineOptions()) -> DataFrame:
-    """Used sets that qualify: index over all sets, live children in order, mean utility, existing high skill."""
-    indexed = global_rank(co_usage, [F.col("mids")], "set_index")
-    used = indexed.filter(F.col("count") >= o.promote_min_usage)
+    """Used sets that qualify: index over all sets, live children in order, mean utility, existing high skill.
+
+    ``co_usage`` comes from ``used_sets``, or holds all sets from ``mid_co_usage``.
+    """
+    indexed = co_usage if "set_index" in co_usage.columns else global_rank(co_usage, [F.col("mids")], "set_index")
+    used = checkpoint(indexed.filter(F.col("count") >= o.promote_min_usage))
     live = skills.filter("granularity = 'mid'").select(
         F.col("skill_id").alias("child"), F.col("name").alias("child_name"),
         F.coalesce("deployment_utility", F.lit(0.0)).alias("u"))
@@ -276,11 +277,13 @@ def promote(skills: DataFrame, co_usage: DataFrame, bridge: DataFrame, segs: Dat
     """Promoted skills, reinforced library, their members and edges."""
     qualified = checkpoint(promotion_candidates(skills, co_usage, o))
     fresh, known = qualified.filter("high_id is null"), qualified.filter("high_id is not null")
-    heads = fresh.select(
-        F.col("set_index").alias("key"),
-        F.format_string("tower_refined_high_%03d", "set_index").alias("skill_id"),
-        F.col("set_index").alias("pos"),
-        F.format_string("Refined High Routine %d", "set_index").alias("name"),
+    number = F.col("set_index").cast("string")
+    place = global_rank(fresh, [F.col("set_index")], "_place")
+    heads = place.select(
+        number.alias("key"),
+        promoted_id().alias("skill_id"),
+        F.col("_place").alias("pos"),
+        F.concat(F.lit("Refined High Routine "), number).alias("name"),
         F.lit("high").alias("granularity"), F.lit("high").alias("tower_level"),
         F.concat_ws(
             "\n", F.lit("Promoted high-level routine from deployment co-use."),
@@ -355,7 +358,7 @@ def refine_library(model: Model, segs: DataFrame, tasks: DataFrame, hits: DataFr
             edges = edges.unionByName(_edges(merge_edges))
     bridge = checkpoint(bridge)
     promoted, reinforced, promoted_members, promote_edges = promote(
-        current, mid_co_usage(hits, record_keys), bridge, segs, o)
+        current, used_sets(hits, record_keys, o), bridge, segs, o)
     promoted = checkpoint(promoted.select(*columns))
     reinforced = checkpoint(reinforced.select(*columns))
     final = checkpoint(append(reinforced, promoted).select(*columns))

@@ -66,7 +66,7 @@ def refinement_actions(spark: SparkSession, sf: str) -> DataFrame:
     return refine.action_counts(rows).join(pruned, "refinement_action", "left").select("refinement_action", "skills", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
-CTES["bits"] = "SELECT unnest(range(1, 1024)) AS mask"
+CTES["bits"] = "SELECT unnest(range(1, (1 << (SELECT greatest(2, max(c)) FROM (SELECT count(DISTINCT action) AS c FROM steps GROUP BY task_id)))::BIGINT)) AS mask"
 CTES["midsets"] = """
 SELECT mids, count(*) AS count FROM (SELECT list_filter(s.list, lambda x, i: (b.mask >> (i - 1)) & 1 = 1) AS mids FROM (
  SELECT task_id, t, list_sort(list(DISTINCT skill_id)) AS list FROM hits WHERE granularity = 'mid' GROUP BY ALL) s JOIN bits b ON b.mask < (1 << len(s.list)) AND bit_count(b.mask) >= 2) GROUP BY ALL"""
@@ -77,7 +77,7 @@ def mid_co_usage(spark: SparkSession, sf: str) -> DataFrame:
     return refine.mid_co_usage(step_hits(spark, sf), RECORD).select(F.concat_ws("|", "mids").alias("mids"), "count")
 
 
-@query("E13", """WITH s AS (SELECT task_id, list_sort(list(DISTINCT action)) AS l FROM steps GROUP BY task_id HAVING count(DISTINCT action) BETWEEN 2 AND 10),
+@query("E13", """WITH s AS (SELECT task_id, list_sort(list(DISTINCT action)) AS l FROM steps GROUP BY task_id HAVING count(DISTINCT action) >= 2),
 m AS (SELECT list_filter(s.l, lambda x, i: (b.mask >> (i - 1)) & 1 = 1) AS mids FROM s JOIN bits b ON b.mask < (1 << len(s.l)) AND bit_count(b.mask) >= 2)
 SELECT array_to_string(mids, '|') AS mids, count(*) AS count FROM m GROUP BY ALL""")
 def action_co_usage(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,8 +142,8 @@ SELECT skill_id AS high_id, [printf('tower_mid_%03d', 2 * h), printf('tower_mid_
  CASE WHEN high_id IS NULL THEN 'promotes_mid_skill' ELSE 'reinforced_by_deployment' END AS relation, count::DOUBLE AS weight, {r6('u', 'utility')} FROM cand LEFT JOIN highs USING (mids)""")
 def promotions(spark: SparkSession, sf: str) -> DataFrame:
     model, hits, rows = scored(spark, sf)
-    qualified = refine.promotion_candidates(rows, refine.mid_co_usage(hits, RECORD), OPTIONS)
-    name = F.coalesce("high_id", F.format_string("tower_refined_high_%03d", "set_index"))
+    qualified = refine.promotion_candidates(rows, refine.used_sets(hits, RECORD, OPTIONS), OPTIONS)
+    name = F.coalesce("high_id", refine.promoted_id())
     relation = F.when(F.col("high_id").isNull(), "promotes_mid_skill").otherwise("reinforced_by_deployment")
     return rounded(qualified.select(
         name.alias("source"), F.explode("mids").alias("target"), relation.alias("relation"),
@@ -158,7 +158,7 @@ FROM cand LEFT JOIN highs USING (mids) JOIN clustered ON list_contains(mids, pri
 @query("K9", f"SELECT printf('tower_refined_high_%03d', idx) AS skill_id, {STATS6} FROM ({stats_sql('pmem', 'idx')})")
 def promoted_skills(spark: SparkSession, sf: str) -> DataFrame:
     model, hits, rows = scored(spark, sf)
-    promoted, _, _, _ = refine.promote(rows, refine.mid_co_usage(hits, RECORD), model.members, fx.segments(spark, sf), OPTIONS)
+    promoted, _, _, _ = refine.promote(rows, refine.used_sets(hits, RECORD, OPTIONS), model.members, fx.segments(spark, sf), OPTIONS)
     return rounded(promoted.select("skill_id", *MEASURED))
 
 
@@ -167,7 +167,7 @@ def promoted_skills(spark: SparkSession, sf: str) -> DataFrame:
 FROM weighted w LEFT JOIN (SELECT high_id AS skill_id, u FROM cand JOIN highs USING (mids)) c USING (skill_id)""")
 def reinforced_skills(spark: SparkSession, sf: str) -> DataFrame:
     model, hits, rows = scored(spark, sf)
-    _, reinforced, _, _ = refine.promote(rows, refine.mid_co_usage(hits, RECORD), model.members, fx.segments(spark, sf), OPTIONS)
+    _, reinforced, _, _ = refine.promote(rows, refine.used_sets(hits, RECORD, OPTIONS), model.members, fx.segments(spark, sf), OPTIONS)
     return rounded(reinforced.select("skill_id", "deployment_utility", "deployment_weight", "refinement_action"))
 
 

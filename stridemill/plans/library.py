@@ -13,7 +13,7 @@ from stridemill.model import Model, columns_of
 from stridemill.operators import tower
 from stridemill.operators.skills import build_skills
 from stridemill.plans import fixtures as fx
-from stridemill.scale import checkpoint, lookup_join
+from stridemill.scale import broadcast_if_small, checkpoint, lookup_join
 
 KINDS = ["QueryFormulation", "CandidateInteraction", "PurchaseDecision"]
 
@@ -84,7 +84,9 @@ def _members(rows: DataFrame, low: DataFrame) -> DataFrame:
     ids = low.select(F.col("key").alias("template"), F.col("skill_id").alias("key"))
     names = F.array(
         F.format_string("tower_mid_%03d", "cluster"), F.format_string("tower_high_%03d", F.floor(F.col("cluster") / 2)))
-    return lookup_join(rows, ids, ["template"]).unionByName(rows.withColumn("key", F.explode(names)))
+    few, small = broadcast_if_small(ids, 128)
+    named = rows.join(few, "template") if small else lookup_join(rows, ids, ["template"])
+    return named.unionByName(rows.withColumn("key", F.explode(names)))
 
 
 def of(spark: SparkSession, sf: str) -> Model:

@@ -22,6 +22,7 @@ HOT_ROWS = 2_000_000
 CHUNK_ROWS = 4096
 BROADCAST_BYTES = 32 * 1024 * 1024
 LOOKUP_SALTS = 16
+SMALL_ROWS = 50_000
 
 
 def session(app: str = "stridemill", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -83,14 +84,18 @@ def _partition_offsets(stored: DataFrame) -> DataFrame:
     return stored.sparkSession.createDataFrame(rows, "_part long, _start long")
 
 
-def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:
+def global_rank(df: DataFrame, order: list, name: str, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Zero-based position of every row in the total order ``order``.
 
     Range partitioning splits long runs of equal leading values by the later
-    columns, so no task sees more than its share, whatever the skew.
+    columns, so no task sees more than its share, whatever the skew. A table of up to
+    ``small_rows`` rows, as counted, is ranked by one window instead.
     """
+    held = checkpoint(df)
+    if held.count() <= small_rows:
+        return held.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
     placed = (
-        df.repartitionByRange(*order)
+        held.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_slot", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_slot", 33))

@@ -1,8 +1,12 @@
 """List order on gapped, tied, zero-based and null step numbers; sets too large to list; components."""
 
+import collections
+import itertools
+import random
+
 import pytest
 
-from stridemill.operators import refine, traces
+from stridemill.operators import frequent, refine, traces
 from stridemill.operators.components import connected_components
 
 
@@ -35,3 +39,43 @@ def test_components_of_chains_hubs_and_loops(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 151)}, 200: 200}
 
 
+
+
+def plain_sets(records, least):
+    """All sets used together, sorted, and those used often with their place."""
+    counted = collections.Counter(c for r in records for k in range(2, len(r) + 1) for c in itertools.combinations(sorted(r), k))
+    place = {s: i for i, s in enumerate(sorted(counted))}
+    return {s: (n, place[s]) for s, n in counted.items() if n >= least}
+
+
+@pytest.mark.parametrize("list_set", [0, 3, 20])
+def test_frequent_sets_and_their_places_equal_the_listing(spark, list_set):
+    rnd = random.Random(list_set)
+    records = [tuple(sorted(rnd.sample("abcdefghi", rnd.randint(1, 5)))) for _ in range(12)] + [tuple("abcdefg")] * 2
+    rows = [(i, s, "mid") for i, r in enumerate(records) for s in [*r, r[0]]] + [(0, "z", "low"), (1, "", "mid")]
+    hits = spark.createDataFrame(rows, "task_id int, skill_id string, granularity string")
+    sets = frequent.record_sets(hits, ["task_id"])
+    for least in (1, 2, 4):
+        used = frequent.frequent_sets(sets, least)
+        got = {tuple(r.mids): (r["count"], int(r.set_index)) for r in frequent.numbered_sets(sets, used, list_set).collect()}
+        assert got == plain_sets(records, least)
+
+
+def test_a_record_of_eighty_skills_is_mined_and_numbered(spark):
+    wide = [f"m{i:02d}" for i in range(80)]
+    records = [wide, ["m03", "m05", "m79"], ["m03", "m05", "zz"]]
+    rows = [(i, s, "mid") for i, r in enumerate(records) for s in r]
+    hits = spark.createDataFrame(rows, "task_id int, skill_id string, granularity string")
+    sets = frequent.record_sets(hits, ["task_id"])
+    got = {tuple(r.mids): (r["count"], int(r.set_index)) for r in frequent.numbered_sets(sets, frequent.frequent_sets(sets, 2)).collect()}
+    assert {s: n for s, (n, _) in got.items()} == {("m03", "m05"): 3, ("m03", "m05", "m79"): 2, ("m03", "m79"): 2, ("m05", "m79"): 2}
+    # sets that begin below m03, then those that begin m03, m04
+    before = sum(2 ** (79 - i) - 1 for i in range(3)) + 2 ** (79 - 4)
+    assert got["m03", "m05"][1] == before
+    # all subsets of m06..m78 behind m03, m05 come first
+    assert got["m03", "m05", "m79"][1] == before + 2**74 - 1
+    none = frequent.frequent_sets(frequent.record_sets(hits.limit(0), ["task_id"]), 2)
+    assert none.count() == 0
+    twice = spark.createDataFrame([(i, s, "mid") for i in range(2) for s in wide], hits.schema)
+    with pytest.raises(Exception, match="co-usage set"):
+        frequent.frequent_sets(frequent.record_sets(twice, ["task_id"]), 2).collect()

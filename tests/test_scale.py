@@ -21,8 +21,9 @@ def test_number_rows_hot_keys(spark):
 
 def test_global_rank_with_ties(spark):
     df = spark.range(1000).select(F.lit(1.0).alias("v"), "id")
-    ranks = scale.global_rank(df, [F.col("v"), F.col("id")], "r").collect()
-    assert all(r["r"] == r["id"] for r in ranks)
+    for small_rows in (10, 10_000):
+        ranks = scale.global_rank(df, [F.col("v"), F.col("id")], "r", small_rows).collect()
+        assert len(ranks) == 1000 and all(r["r"] == r["id"] for r in ranks)
 
 
 def test_halo_windows(spark):
