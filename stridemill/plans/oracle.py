@@ -171,6 +171,10 @@ CTES["gcon"] = """
 SELECT *, CASE WHEN src_success AND dst_success THEN weight WHEN NOT src_success AND NOT dst_success THEN -0.65 * weight ELSE 0 END AS contrastive FROM gedges"""
 
 
+#: expressions that several others read
+STORED = {"gseg", "gu", "gsim", "gtop", "gnext", "gtend", "gmask", "gedges"}
+
+
 def sql(body: str) -> str:
     """``body`` with the common-table expressions it names, dependencies first."""
     ordered: list[str] = []
@@ -185,7 +189,7 @@ def sql(body: str) -> str:
     visit(body)
     if not ordered:
         return body.strip()
-    listed = ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in ordered)
+    listed = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in STORED else ''}({CTES[n].strip()})" for n in ordered)
     head = body.strip()
     if head.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {listed},\n{head[15:]}"

@@ -183,7 +183,9 @@ def spectral_clusters(spark: SparkSession, sf: str) -> DataFrame:
     segs = fx.graph_segments(spark, sf)
     edges = checkpoint(graph.contrastive_edges(graph.affinity_edges(segs), 0.65))
     found = spectral.spectral_clusters(segs, edges)
-    return found.embedding.select(F.col("node").alias("pos"), "cluster")
+    return found.embedding.select(
+        F.col("node").alias("pos"), "cluster", F.lit(found.residual).alias("residual"),
+        F.lit(found.spectrum_converged and found.clusters_converged).alias("converged"))
 
 
 @query("H21 H17 H18 E7 E8 E10 E11 G1 H9 H20 J2 J3")
