@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from stridemill.llm.batches import bound_batches
 from stridemill.llm.tagger import KINDS, Tagger, symbols
+from stridemill.llm.words import mixed
+from stridemill.scale import top_rows
 
 WINDOW, STRIDE = 96, 48
-TRAIN_ROWS, TRAIN_WINDOWS, EPOCHS = 400, 480, 18
-CONFIDENCE = 0.9
+TRAIN_ROWS, TRAIN_WINDOWS, WINDOWS_PER_TEXT, EPOCHS = 400, 720, 6, 26
+CONFIDENCE = 0.5
 BATCH_WINDOWS = 256
-#: Fewest digits of an added span by kind, and what it must contain.
-LEAST_DIGITS = {"email": 0, "ip": 4, "card": 13, "phone": 9}
 
 Span = tuple[int, int, str]
 
@@ -28,7 +28,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?+[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MARK = re.compile(r"[0-9@]")
+#: What a span always holds: a digit, or an at sign in one of its spellings.
+MARK = r"[0-9@\uFF20]|\((?:at|AT)\)|\[(?:at|AT)\]"
+_MARK = re.compile(MARK)
+_AT = re.compile(r"@|\uFF20|\((?:at|AT)\)|\[(?:at|AT)\]")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -92,38 +95,143 @@ def _windows(codes: np.ndarray, starts: list[int]) -> np.ndarray:
     return out
 
 
+# where a text may hold a base span, cheap enough for every row
+_HINTS = {
+    "email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]",
+    "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]",
+    "card": r"[0-9]([ -]?[0-9]){12}",
+    "phone": r"\+[0-9][ ().0-9-]{6}",
+}
+
+
+def _number(rng: np.random.Generator, size: int) -> str:
+    return "".join(map(str, rng.integers(0, 10, size)))
+
+
+def _word(rng: np.random.Generator) -> str:
+    return "".join(rng.choice(list("aeioubcdfghklmnprstvwz"), int(rng.integers(3, 9))))
+
+
+def _card(rng: np.random.Generator) -> str:
+    digits = _number(rng, int(rng.integers(13, 20)) - 1)
+    return digits + next(d for d in "0123456789" if luhn(digits + d))
+
+
+def _cut(digits: str, size: int, mark: str) -> str:
+    return mark.join(digits[i : i + size] for i in range(0, len(digits), size))
+
+
+def disguised(kind: str, rng: np.random.Generator) -> str:
+    """An invented value of a kind in a spelling that its base pattern misses."""
+    pick = lambda *options: options[int(rng.integers(len(options)))]
+    if kind == "email":
+        name, host, end = pick(_word(rng), f"{_word(rng)}.{_word(rng)}", f"{_word(rng)}{_number(rng, 2)}"), _word(rng), pick("com", "org", "net", "de")
+        at = pick(" @ ", "@ ", "\uff20", " (at) ", "(at)", "[at]")
+        return f"{name}{at}{host}.{end}"
+    if kind == "ip":
+        return pick(" . ", "[.]", "(.)", ". ", " .").join(str(int(rng.integers(0, 256))) for _ in range(4))
+    if kind == "card":
+        return _cut(_card(rng), 4, pick(".", "/", "_", " - "))
+    digits = str(int(rng.integers(10, 99))) + _number(rng, int(rng.integers(8, 11)))
+    if rng.random() < 0.5:
+        return pick("+ ", "\uff0b", "00 ") + pick(_cut(digits, 3, " "), _cut(digits, 4, "-"), _cut(digits, 3, "/"))
+    return f"({_number(rng, 3)}) {_number(rng, 4)}{pick('-', ' ', '/')}{_number(rng, 4)}"
+
+
+def decoy(rng: np.random.Generator) -> str:
+    """Digits or an at sign that are no personal data: versions, dates, times, prices, hex, numbers, mentions."""
+    number = lambda low, high: str(int(rng.integers(low, high)))
+    bad = _card(rng)
+    bad = bad[:-1] + str((int(bad[-1]) + 1 + int(rng.integers(8))) % 10)
+    kinds = (
+        lambda: "v" + ".".join(number(0, 30) for _ in range(3)), lambda: ".".join(number(256, 2000) for _ in range(4)),
+        lambda: f"20{number(10, 30)}-{number(10, 13)}-{number(10, 29)}", lambda: f"{number(10, 24)}:{number(10, 60)}",
+        lambda: f"{number(1, 900)}.{number(10, 99)}", lambda: rng.bytes(10).hex(), lambda: bad, lambda: _cut(bad, 4, " "),
+        lambda: number(1, 10**6), lambda: f"{number(1900, 2030)}", lambda: f"{_word(rng)} @ {_word(rng)}", lambda: f"@{_word(rng)}",
+        lambda: f"{number(1, 99)} {number(1, 99)} {number(1, 99)}", lambda: f"{number(1, 9)}/{number(1, 9)}",
+    )
+    return kinds[int(rng.integers(len(kinds)))]()
+
+
+def _drawn_windows(segments: DataFrame, id_column: str, rows: int, per_text: int) -> list[tuple[str, list[Span]]]:
+    """At most ``per_text`` windows of each of ``rows`` texts: a fifth of the texts per kind, a fifth with other digits.
+
+    Texts and windows are the smallest by hash, over whole texts, windows with a span of the text's kind first. Tasks send
+    the driver hashes, then windows, never texts.
+    """
+    draw = F.xxhash64(F.lit("tagger"), id_column, "text")
+    kind = F.when(F.col("text").rlike("[0-9@]"), "other")
+    for name, hint in reversed(_HINTS.items()):
+        kind = F.when(F.col("text").rlike(hint), name).otherwise(kind)
+    labelled = segments.select("text", draw.alias("_draw"), kind.alias("_kind")).filter(F.col("_kind").isNotNull())
+    few = top_rows(labelled.select("_draw", "_kind").distinct(), ["_kind"], [F.col("_draw")], max(1, rows // (len(KINDS) + 1)), "_r")
+    chosen = [r["_draw"] for r in few.select("_draw").collect()]
+    if not chosen:
+        return []
+    texts = labelled.filter(F.col("_draw").isin(chosen)).dropDuplicates(["_draw"])
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out: dict[str, list] = {"draw": [], "window": [], "spans": []}
+            for text, seed, kind in zip(frame["text"], frame["_draw"].tolist(), frame["_kind"], strict=True):
+                spans = base_spans(text)
+                mine = {s // STRIDE for s, _, k in spans if k == kind}
+                places = np.array(_places(text))
+                order = np.argsort(mixed(places.astype(np.uint64) ^ np.uint64(seed & (1 << 64) - 1)), kind="stable")
+                first = [p for p in places[order].tolist() if p // STRIDE in mine or p // STRIDE + 1 in mine]
+                rest = [p for p in places[order].tolist() if p not in set(first)]
+                taken = 0
+                for s in [*first[: per_text // 2 or 1], *rest, *first[per_text // 2 or 1 :]]:
+                    end = min(len(text), s + WINDOW)
+                    if taken < per_text and not any(a < s < b or a < end < b for a, b, _ in spans):  # half a span teaches the wrong thing
+                        inside = [{"start": a - s, "end": b - s, "kind": k} for a, b, k in spans if s <= a and b <= end]
+                        out["draw"].append(seed)
+                        out["window"].append(text[s:end])
+                        out["spans"].append(inside)
+                        taken += 1
+            yield pd.DataFrame(out)
+
+    found = texts.mapInPandas(cut, "draw long, window string, spans array<struct<start:int,end:int,kind:string>>").collect()
+    return sorted((r["window"], [(s["start"], s["end"], s["kind"]) for s in r["spans"]]) for r in found)
+
+
 def train_tagger(
-    segments: DataFrame, id_column: str = "segment_id", rows: int = TRAIN_ROWS, windows: int = TRAIN_WINDOWS, epochs: int = EPOCHS
+    segments: DataFrame, id_column: str = "segment_id", rows: int = TRAIN_ROWS, windows: int = TRAIN_WINDOWS, epochs: int = EPOCHS,
+    per_text: int = WINDOWS_PER_TEXT,
 ) -> Tagger | None:
-    """Fit on labelled spans: the base spans of at most ``rows`` segments that hold a digit or ``@``.
+    """Fit on labelled spans in at most ``windows`` windows, from at most ``rows`` texts and ``per_text`` windows of each.
 
-    The rows with the smallest hash of ``id_column`` are taken, and at most ``windows`` of their windows, so the
-    sample that reaches the driver is bounded at any input size. None without such rows.
+    A third are windows of the texts as they are, labelled with their base spans. The others put invented values between words
+    of the texts, by turns personal data in a spelling that the base patterns miss, labelled so, and a decoy without a
+    label. The sample that reaches the driver is bounded at any input size and the same on every
+    run. None for an empty table, or when no text holds a digit or ``@``.
     """
-    draw = F.xxhash64(F.lit("tagger"), id_column)
-    marked = F.col("text").rlike("[0-9@]")
-    # hashes first, so that tasks send the driver eight bytes a row; then the texts of the rows below the last of them
-    drawn = [r[0] for r in segments.filter(marked).select(draw.alias("_draw")).orderBy("_draw").limit(rows).collect()]
+    drawn = _drawn_windows(segments, id_column, rows, per_text)
     if not drawn:
         return None
-    below = segments.filter(draw <= drawn[-1]).filter(marked).select("text", draw.alias("_draw"), F.xxhash64("text").alias("_tie"))
-    texts = [r[0] for r in below.orderBy("_draw", "_tie").limit(rows).select("text").collect()]
     rng = np.random.default_rng(7)
-    chosen = []
-    for text in texts:
-        spans = base_spans(text)
-        codes, tags = symbols(text), _tagged(len(text), spans)
-        for s in _places(text)[:8]:
-            s = min(max(0, s + int(rng.integers(-STRIDE // 2, STRIDE // 2))), max(0, len(text) - WINDOW))
-            end = min(len(text), s + WINDOW)
-            cut = any(a < s < b or a < end < b for a, b, _ in spans)  # half a span teaches the wrong thing
-            if not cut:
-                chosen.append((_windows(codes, [s])[0], np.pad(tags[s:end], (0, WINDOW - (end - s)))))
-    if not chosen:
-        return None
-    picked = rng.permutation(len(chosen))[:windows]
+    examples: list[tuple[str, list[Span]]] = []
+    order = rng.permutation(len(drawn))
+    examples += [drawn[i] for i in order[: windows // 3]]
+    prose = [w for window, _ in drawn for w in window.split() if not _MARK.search(w)] or ["and"]
+    turn = 0
+    while len(examples) < windows:
+        text, spans = "", []
+        while len(text) < WINDOW:
+            at = int(rng.integers(len(prose)))
+            text += " ".join(prose[at : at + int(rng.integers(1, 5))]) + (" " if rng.random() < 0.9 else ", ")
+            kind = KINDS[turn // 2 % len(KINDS)] if turn % 2 else None
+            value = disguised(kind, rng) if kind else decoy(rng)
+            turn += 1
+            if len(text) + len(value) > WINDOW:
+                break
+            spans += [(len(text), len(text) + len(value), kind)] if kind else []
+            text += value + (" " if rng.random() < 0.8 else rng.choice([", ", ". ", "\n", "; "]))
+        examples.append((text[:WINDOW], spans))
+    codes = np.stack([_windows(symbols(t), [0])[0] for t, _ in examples]).astype(np.int64)
+    tags = np.stack([np.pad(_tagged(len(t), sorted(spans)), (0, WINDOW - len(t))) for t, spans in examples]).astype(np.int64)
     tagger = Tagger.new()
-    tagger.fit(np.stack([chosen[i][0] for i in picked]).astype(np.int64), np.stack([chosen[i][1] for i in picked]).astype(np.int64), epochs)
+    tagger.fit(codes, tags, epochs)
     return tagger
 
 
@@ -166,13 +274,25 @@ def _decoded(tagger: Tagger, texts: list[str]) -> list[list[tuple[float, int, in
     return found
 
 
+def plausible(value: str, kind: str) -> bool:
+    """Whether an added span holds what its kind needs, whatever its spelling."""
+    digits = "".join(_DIGIT.findall(value))
+    if kind == "email":
+        return len(_AT.findall(value)) == 1
+    if kind == "ip":
+        parts = re.findall(r"[0-9]+", value)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return 9 <= len(digits) <= 15
+
+
 def reconciled(text: str, base: list[Span], scored: list[tuple[float, int, int, str]]) -> list[Span]:
     """Spans to add: the surest first, none that meets a base span or one already added."""
     taken = [(a, b) for a, b, _ in base]
     added: list[Span] = []
     for _, start, end, kind in sorted(set(scored), key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
-        digits = len(_DIGIT.findall(text, start, end))
-        if digits < LEAST_DIGITS[kind] or kind == "email" and "@" not in text[start:end]:
+        if not plausible(text[start:end], kind):
             continue
         if all(end <= a or start >= b for a, b in taken):
             taken.append((start, end))
@@ -206,7 +326,8 @@ def find_personal_data(segments: DataFrame, tagger: Tagger | None) -> DataFrame:
     Spans are arrays of (kind, start, end), code points with the end exclusive, sorted by kind and
     start; the whole ``text`` is read. Base spans of one kind never overlap. The tagger reads overlapping windows; a
     span cut by a window's edge is left to its neighbour, and the windows' spans are reconciled over the
-    whole text. A span always holds a digit or ``@``, so windows and texts without one are skipped. ``clean_text``
+    whole text; an added span must be ``plausible``. A span always holds what ``MARK`` matches, so windows and texts
+    without it are skipped. A text is read whole, in one task, with windows in batches of ``BATCH_WINDOWS``. ``clean_text``
     has every span replaced by its kind in brackets. Null and empty texts have no spans and stay as they are. A
     tagger of None (nothing to learn from) adds nothing. Columns of the same names are replaced.
     """
@@ -225,7 +346,7 @@ def find_personal_data(segments: DataFrame, tagger: Tagger | None) -> DataFrame:
             })
 
     bound_batches(segments.sparkSession)
-    marked = F.when(F.col("text").rlike("[0-9@]"), F.col("text"))
+    marked = F.when(F.col("text").rlike(MARK), F.col("text"))
     out = segments.withColumn("_found", found(marked))
     return out.withColumns({
         "base_spans": F.col("_found.base_spans"), "added_spans": F.col("_found.added_spans"),

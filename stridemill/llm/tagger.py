@@ -9,7 +9,7 @@ import numpy as np
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then first and inner character of each kind
 SYMBOLS = 1 + 5 + 33       # padding, five classes, ASCII punctuation and the rest
-EMBEDDING, HIDDEN = 8, 12
+EMBEDDING, HIDDEN = 8, 16
 _FORBIDDEN = -1e4
 
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"

@@ -348,3 +348,34 @@ def test_wrappers_named_like_clutter_keep_their_article(opening, closing):
     # comments without marks of their own, longer than the article beside them
     page = html.parse(f"<body><div class=story>{story}</div><div id=comments><p>{'reader words ' * 12}</p></div></body>")
     assert html.text_at(page, [html.best_path(page)[0]]) == want
+
+
+def test_tagger_adds_disguised_data_and_leaves_decoys_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumnRenamed("doc_id", "segment_id")
+    model = pii.train_tagger(docs)
+    words = [w for r in docs.select("text").limit(40).collect() for w in (r.text or "").split() if not re.search(r"[^A-Za-z.,]", w)]
+    rng = np.random.default_rng(11)
+
+    def around(value):
+        at = int(rng.integers(len(words) - 40))
+        lead = " ".join(words[at : at + 15])
+        return len(lead) + 1, f"{lead} {value} {' '.join(words[at + 15 : at + 40])}"
+
+    found = 0
+    for kind in pii.KINDS * 40:
+        value = pii.disguised(kind, rng)
+        at, text = around(value)
+        base, added = pii.all_spans(model, [text])[0]
+        found += (at, at + len(value), kind) in base + added
+    assert found >= 0.9 * 4 * 40
+    texts = [around(pii.decoy(rng))[1] for _ in range(200)]
+    assert sum(bool(added) for _, added in pii.all_spans(model, texts)) <= 2
+
+
+def test_tagger_sees_whole_texts_and_repeated_rows_once(spark):
+    late = "word " * 4000 + "mail ab@cd.example.com end"
+    rows = segments(spark, [late] * 50 + ["plain 12"])
+    rows = rows.withColumn("segment_id", rows.segment_id % 2)
+    drawn = pii._drawn_windows(rows, "segment_id", 400, 6)
+    assert sum("ab@cd.example.com" in w and spans == [(w.index("ab@"), w.index("ab@") + 17, "email")] for w, spans in drawn) >= 2
+    assert len(drawn) <= 3 * 6
