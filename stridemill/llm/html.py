@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridemill.llm.batches import bound_batches
-from stridemill.scale import broadcast_if_small, checkpoint
+from stridemill.scale import BROADCAST_BYTES, checkpoint
 
 PATHS_PER_HOST = 5
 
@@ -53,21 +54,49 @@ _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
-    path: str
+    path: int
     parent: int
     dropped: bool
     mark: int = 0  # innermost element at or above this one that is marked as clutter; 0 for none
+    link: bool = False  # inside a link, a paragraph, however deep
+    paragraph: bool = False
     value: float = 0.0
     every: float = 0.0
 
 
 @dataclass
 class Page:
+    """Elements, text blocks, and the paths of the elements: a path is its parent's number and one more step."""
+
     nodes: list[Node] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)
+    paths: dict[tuple[int, str], int] = field(default_factory=dict)
+    steps: list[tuple[int, str]] = field(default_factory=lambda: [(-1, "")])
+
+    def path_below(self, parent: int, step: str) -> int:
+        known = self.paths.setdefault((parent, step), len(self.steps))
+        if known == len(self.steps):
+            self.steps.append((parent, step))
+        return known
+
+    def spelled(self, path: int) -> str:
+        """A path as text: its steps from the root, which hold no blanks."""
+        out = []
+        while path > 0:
+            path, step = self.steps[path]
+            out.append(step)
+        return " ".join(reversed(out))
+
+    def numbered(self, path: str) -> int | None:
+        at: int | None = 0
+        for step in path.split(" ") if path else ():
+            at = self.paths.get((at, step))
+            if at is None:
+                return None
+        return at
 
 
 def _attributes(text: str | None) -> dict[str, str]:
@@ -194,14 +223,15 @@ def parse(source: str) -> Page:
     """
     page = Page()
     nodes = page.nodes
-    nodes.append(Node("html", "", -1, False))
+    nodes.append(Node("html", 0, -1, False))
     stack = [0]
+    opened: Counter[str] = Counter()
     read: list[Block] = []
     pieces: list[Piece] = []
 
     def flush() -> None:
         if pieces:
-            read.append((stack[-1], any(nodes[i].tag == "p" for i in stack[-4:]), pieces.copy()))
+            read.append((stack[-1], nodes[stack[-1]].paragraph, pieces.copy()))
             pieces.clear()
 
     def spoken(raw: str) -> None:
@@ -212,10 +242,11 @@ def parse(source: str) -> Page:
             top.every += len(raw.strip())
             return
         text = entities.unescape(raw) if "&" in raw else raw
-        linked = len(text.strip()) if any(nodes[i].tag == "a" for i in stack[-4:]) else 0
+        linked = len(text.strip()) if top.link else 0
         pieces.append((stack[-1], text, len(raw.strip()), linked))
 
     def close_to(depth: int) -> None:
+        opened.subtract(nodes[i].tag for i in stack[max(1, depth):])
         del stack[max(1, depth):]
 
     at = 0
@@ -235,6 +266,8 @@ def parse(source: str) -> Page:
         if tag in BLOCK:
             flush()
         if m["end"]:
+            if not opened[tag]:
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if nodes[stack[depth]].tag == tag:
                     close_to(depth)
@@ -242,9 +275,10 @@ def parse(source: str) -> Page:
             continue
         if tag in VOID or tag == "html":
             continue
-        if tag == "body" and any(nodes[i].tag == "body" for i in stack):
+        if tag == "body" and opened["body"]:
             continue
-        if tag in BLOCK:  # an open paragraph or heading ends, with what is open inside it
+        ends = opened["p"] > 0 or tag in HEADINGS | {"p"} and any(opened[h] for h in HEADINGS)
+        if tag in BLOCK and ends:  # an open paragraph or heading ends, with what is open inside it
             for depth in range(len(stack) - 1, 0, -1):
                 open_tag = nodes[stack[depth]].tag
                 if open_tag == "p" or open_tag in HEADINGS and tag in HEADINGS | {"p"}:
@@ -252,7 +286,7 @@ def parse(source: str) -> Page:
                     break
                 if open_tag in CONTAINER or open_tag in ("li", "blockquote", "ul", "ol"):
                     break
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened[t] for t in CLOSES[tag]):
             for depth in range(len(stack) - 1, 0, -1):
                 if nodes[stack[depth]].tag in CLOSES[tag]:
                     close_to(depth)
@@ -274,9 +308,11 @@ def parse(source: str) -> Page:
             dropped = any(nodes[i].dropped for i in stack[:-1])
             mark = nodes[stack[-2]].mark
         names = ".".join(sorted(set(_DIGITS.sub("0", attributes.get("class", "")).split())))
-        nodes.append(Node(tag, f"{up.path}/{tag}{'.' + names if names else ''}", stack[-1], dropped, mark))
+        path = page.path_below(up.path, f"{tag}.{names}" if names else tag)
+        nodes.append(Node(tag, path, stack[-1], dropped, mark, up.link or tag == "a", up.paragraph or tag == "p"))
         if not ((m["attributes"] or "").rstrip().endswith("/") and tag not in BLOCK):
             stack.append(len(nodes) - 1)
+            opened[tag] += 1
     flush()
     _settle(page, read)
     for node in reversed(nodes[1:]):  # children come behind their parents
@@ -296,16 +332,19 @@ def best_path(page: Page) -> tuple[str, float] | None:
             score = node.value * BONUS.get(node.tag, 1.0) * node.value / node.every
             if best is None or score >= best[1]:  # of equals the innermost, which holds the same text
                 best = (node.path, score)
-    return best and (best[0], best[1] / page.nodes[0].value)
+    return best and (page.spelled(best[0]), best[1] / page.nodes[0].value)
 
 
 def text_at(page: Page, paths: list[str]) -> str:
     """Blocks inside the elements of the first path the page has text at, else inside its own best container, else all."""
     own = best_path(page)
     for path in [*paths, *([own[0]] if own else []), ""]:
+        number = page.numbered(path)
+        if number is None:
+            continue
         inside: list[bool] = []
         for node in page.nodes:
-            inside.append(node.path == path and not node.dropped or node.parent >= 0 and inside[node.parent])
+            inside.append(node.path == number and not node.dropped or node.parent >= 0 and inside[node.parent])
         blocks = [text for at, text in page.blocks if inside[at]]
         if blocks:
             return "\n".join(blocks)
@@ -319,8 +358,9 @@ def extract_text(steps: DataFrame, observation: str = "observation", url: str =
     added up per host of ``url`` in Spark, and every page is read again at the first of its host's
     ``paths_per_host`` strongest paths that it has, or at its own best container if it has none. Pages without a
     host use their own. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-    comments are dropped; an element that is only named like one and wraps the article is not. A null or empty observation has an empty text. Each page is parsed in place and a hot host
-    only adds to its partial sums; the table of winning paths is broadcast when its counted size is small, and
+    comments are dropped; an element that is only named like one and wraps the article is not. A null or empty
+    observation has an empty text. Each page is parsed in place and a hot host
+    only adds to its partial sums; the table of winning paths is broadcast when its measured size is small, and
     joined by host, with adaptive skew handling, beyond that.
     """
     bound_batches(steps.sparkSession, 128)
@@ -351,5 +391,8 @@ def extract_text(steps: DataFrame, observation: str = "observation", url: str =
                 text_at(parse(t), [] if p is None else list(p)) if t else "" for t, p in zip(pages, paths, strict=True)
             ], dtype=object)
 
-    few, _ = broadcast_if_small(checkpoint(winners), 512 * paths_per_host)
+    stored = checkpoint(winners)
+    length = F.aggregate("_paths", F.lit(64).cast("long"), lambda a, p: a + F.octet_length(p) + 32)
+    size = stored.agg(F.sum(F.octet_length("_host") + length)).first()[0] or 0
+    few = F.broadcast(stored) if size <= BROADCAST_BYTES else stored
     return hosted.join(few, "_host", "left").withColumn("text", read(observation, "_paths")).drop("_host", "_paths")

@@ -379,3 +379,41 @@ def test_tagger_sees_whole_texts_and_repeated_rows_once(spark):
     drawn = pii._drawn_windows(rows, "segment_id", 400, 6)
     assert sum("ab@cd.example.com" in w and spans == [(w.index("ab@"), w.index("ab@") + 17, "email")] for w, spans in drawn) >= 2
     assert len(drawn) <= 3 * 6
+
+
+def test_links_and_paragraphs_count_at_any_depth():
+    story = "".join(f"<p>Sentence {i} of the story goes on for a while.</p>" for i in range(6))
+    teaser = "<a href=x><b><i><u><em><span>Read this other long headline of another page now</span></em></u></i></b></a>"
+    page = html.parse(f"<body><div class=story>{story}</div><div class=more>{teaser * 8}</div></body>")
+    assert html.best_path(page)[0] == "body div.story"
+    assert "headline" not in html.text_at(page, [html.best_path(page)[0]])
+
+
+def test_pages_of_a_hundred_thousand_open_or_stray_tags_stay_small():
+    import resource
+    import time
+
+    before, start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+    deep = html.parse("<body><p>intro</p>" + "<font>" * 100_000 + "end of it" + "<div>x</div></em>" * 2_000)
+    assert html.text_at(deep, []).startswith("intro\nend of it")
+    stray = html.parse("<body>" + "<div>" * 50_000 + "</b></i></li>" * 50_000 + "text" + "</div>" * 50_000)
+    assert html.text_at(stray, []) == "text"
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000 and time.perf_counter() - start < 60
+
+
+def test_votes_equal_a_plain_count_per_host(spark):
+    rnd = random.Random(21)
+    rows = []
+    for i in range(60):
+        host = f"h{i % 4}.example.org"
+        box = rnd.choice(["story", "post x1", "post x2"]) if i % 5 else "odd w-1/2"
+        text = "".join(f"<p>{prose(rnd, ['word', 'other', 'thing'], 20)}</p>" for _ in range(3))
+        rows.append((i, f"https://{host}/p{i}", f"<body><div class='{box}'>{text}</div><div class=links><a>{prose(rnd, ['l'], 9)}</a></div></body>"))
+    votes = collections.defaultdict(collections.Counter)
+    for _, url, page in rows:
+        path, score = html.best_path(html.parse(page))
+        votes[url.split("/")[2]][path] += score
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id int, url string, observation string")).collect()}
+    for i, url, page in rows:
+        ranked = sorted(votes[url.split("/")[2]].items(), key=lambda v: (-v[1], v[0]))[: html.PATHS_PER_HOST]
+        assert got[i] == html.text_at(html.parse(page), [p for p, _ in ranked])
