@@ -18,6 +18,7 @@ from stridemill.scale import top_rows
 WINDOW, STRIDE = 96, 48
 TRAIN_ROWS, TRAIN_WINDOWS, WINDOWS_PER_TEXT, EPOCHS = 400, 720, 6, 26
 CONFIDENCE = 0.5
+DRAW_PARTS = 256
 BATCH_WINDOWS = 256
 
 Span = tuple[int, int, str]
@@ -160,11 +161,15 @@ def _drawn_windows(segments: DataFrame, id_column: str, rows: int, per_text: int
     the driver hashes, then windows, never texts.
     """
     draw = F.xxhash64(F.lit("tagger"), id_column, "text")
-    kind = F.when(F.col("text").rlike("[0-9@]"), "other")
+    kind = F.lit("other")
     for name, hint in reversed(_HINTS.items()):
         kind = F.when(F.col("text").rlike(hint), name).otherwise(kind)
-    labelled = segments.select("text", draw.alias("_draw"), kind.alias("_kind")).filter(F.col("_kind").isNotNull())
-    few = top_rows(labelled.select("_draw", "_kind").distinct(), ["_kind"], [F.col("_draw")], max(1, rows // (len(KINDS) + 1)), "_r")
+    marked = segments.filter(F.col("text").rlike("[0-9@]"))
+    labelled = marked.select("text", draw.alias("_draw"), kind.alias("_kind"))
+    most = max(1, rows // (len(KINDS) + 1))
+    # in parts first, as one kind may hold most rows
+    parted = labelled.select("_draw", "_kind", F.pmod("_draw", F.lit(DRAW_PARTS)).alias("_part")).distinct()
+    few = top_rows(top_rows(parted, ["_kind", "_part"], [F.col("_draw")], most, "_r").drop("_r"), ["_kind"], [F.col("_draw")], most, "_r")
     chosen = [r["_draw"] for r in few.select("_draw").collect()]
     if not chosen:
         return []
