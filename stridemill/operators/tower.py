@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridemill.functions import text as tx
+from stridemill.operators.communities import wide_communities
 from stridemill.operators.skills import build_skills, skill_members, top_counts
 from stridemill.operators.traces import step_pairs
 from stridemill.scale import global_rank, lookup_join, top_rows
@@ -166,14 +167,19 @@ def greedy_modularity(nodes: list[int], links: dict[tuple[int, int], float]) ->
     return sorted(groups.values(), key=lambda g: (-len(g), min(g)))
 
 
-def communities(spark: SparkSession, clusters: DataFrame, transitions: DataFrame) -> DataFrame:
-    """``cluster, community``. The cluster count is an option of the miner, so this graph is small.
+def communities(spark: SparkSession, clusters: DataFrame, transitions: DataFrame, method: str = "greedy") -> DataFrame:
+    """``cluster, community``. Two-way weights are summed.
 
-    Two-way weights are summed. The size is checked before anything is fetched.
+    ``greedy`` merges pairs on the driver, for the few clusters a miner usually has; the size is checked before anything is
+    fetched. ``moves`` runs as Spark jobs for any number of clusters; its communities may differ from the greedy ones.
     """
+    if method == "moves":
+        return wide_communities(clusters, transitions)
+    if method != "greedy":
+        raise ValueError(f"unknown community method: {method}")
     mids = clusters.count()
     if mids > MAX_MIDS:
-        raise ValueError(f"{mids} mid clusters requested; communities support up to {MAX_MIDS}")
+        raise ValueError(f"{mids} mid clusters are more than {MAX_MIDS}: choose the community method 'moves'")
     nodes = sorted(r[0] for r in clusters.collect())
     links: dict[tuple[int, int], float] = {}
     for r in transitions.select("source", "target", "weight").collect():

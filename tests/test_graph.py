@@ -148,3 +148,44 @@ def test_guards(spark):
     assert mining.mine_tower(segs.limit(0)).meta == {"segment_count": 0}
     with pytest.raises(ValueError):
         mining.miner("nothing")
+
+
+def test_communities_by_moves_come_close_to_greedy_ones(spark):
+    for seed in (1,):
+        rng = np.random.default_rng(seed)
+        group = rng.integers(0, 5, 60)
+        chance = np.where(group[:, None] == group[None, :], 0.4, 0.03)
+        rows = [(a, b, float(rng.integers(1, 5))) for a in range(60) for b in range(60) if a != b and rng.random() < chance[a, b]]
+        edges = spark.createDataFrame(rows, "source long, target long, weight double")
+        nodes = spark.range(61).withColumnRenamed("id", "key")
+        labels = {r["cluster"]: r["community"] for r in tower.communities(spark, nodes, edges, "moves").collect()}
+        links = {}
+        for a, b, w in rows:
+            links[min(a, b), max(a, b)] = links.get((min(a, b), max(a, b)), 0.0) + w
+        greedy = {n: i for i, g in enumerate(tower.greedy_modularity(list(range(61)), links)) for n in g}
+
+        def quality(label):
+            total = sum(links.values())
+            load = {}
+            for (a, b), w in links.items():
+                for n in (a, b):
+                    load[label[n]] = load.get(label[n], 0.0) + w
+            return sum(w for (a, b), w in links.items() if label[a] == label[b]) / total - sum((x / (2 * total)) ** 2 for x in load.values())
+
+        assert set(labels) == set(range(61)) and quality(labels) >= 0.95 * quality(greedy)
+        assert list(labels.values()).count(labels[60]) == 1
+    alone = tower.communities(spark, nodes, edges.limit(0), "moves")
+    assert {r["cluster"]: r["community"] for r in alone.collect()} == {i: i for i in range(61)}
+
+
+def test_communities_beyond_what_the_driver_merges(spark):
+    size = 2_500
+    ring = spark.range(size).select((F.col("id")).alias("source"), (F.floor(F.col("id") / 10) * 10 + (F.col("id") + 1) % 10).alias("target"), F.lit(5.0).alias("weight"))
+    bridge = spark.range(0, size, 10).select(F.col("id").alias("source"), ((F.col("id") + 10) % size).alias("target"), F.lit(0.1).alias("weight"))
+    nodes = spark.range(size).withColumnRenamed("id", "key")
+    with pytest.raises(ValueError, match="moves"):
+        tower.communities(spark, nodes, ring)
+    found = checkpoint(tower.communities(spark, nodes, ring.unionByName(bridge), "moves"))
+    assert found.count() == size
+    spread = found.groupBy(F.floor(F.col("cluster") / 10)).agg(F.count_distinct("community").alias("n")).filter("n > 1").count()
+    assert spread <= 25
