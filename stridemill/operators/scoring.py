@@ -233,8 +233,14 @@ def top_by_support(skills: DataFrame, members: DataFrame, k: int = 3) -> DataFra
     return sized.drop("_n").orderBy(F.desc("support"), F.asc("pos")).limit(k)
 
 
-def retrieval_metadata(tasks: DataFrame, found: DataFrame, skills: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
-    """Per task: strategy, candidates, returned, returned per level."""
+def retrieval_metadata(
+    tasks: DataFrame, found: DataFrame, skills: DataFrame, name: str, keys: list[str] | None = None,
+    level_top_k: dict[str, int] | None = None, usage: DataFrame | None = None,
+) -> DataFrame:
+    """Per task: strategy, candidates, returned, returned per level, limits per level, and what embedding its text cost.
+
+    ``usage`` has the keys and ``tokens`` of strategies that embed the task; a task that got nothing has a row all the same.
+    """
     keys = keys or ["task_id"]
     per_level = found.groupBy(*keys, "level").agg(F.count(F.lit(1)).alias("n"))
     per_task = per_level.groupBy(*keys).agg(
@@ -242,9 +248,17 @@ def retrieval_metadata(tasks: DataFrame, found: DataFrame, skills: DataFrame, na
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "n")))).alias("returned_by_level"),
     )
     candidates = skills.agg(F.count(F.lit(1))).scalar()
-    return tasks.select(*keys).join(per_task, keys, "left").select(
+    limits = [F.lit(x) for pair in (level_top_k or {}).items() for x in pair]
+    rows = tasks.select(*keys).join(per_task, keys, "left")
+    embedded = usage is not None
+    if embedded:
+        rows = rows.join(usage.groupBy(*keys).agg(F.sum("tokens").alias("embedding_total_tokens")), keys, "left")
+    return rows.select(
         *keys, F.lit(name).alias("retrieval_strategy"), candidates.alias("candidate_skill_count"),
         F.coalesce("returned_skill_count", F.lit(0).cast("long")).alias("returned_skill_count"), "returned_by_level",
+        (F.create_map(*limits) if limits else F.lit(None).cast("map<string,int>")).alias("level_top_k"),
+        F.lit("embedding" if embedded else None).cast("string").alias("retrieval_similarity_type"),
+        (F.coalesce("embedding_total_tokens", F.lit(0)) if embedded else F.lit(None)).cast("long").alias("embedding_total_tokens"),
     )
 
 

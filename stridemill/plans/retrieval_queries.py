@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stridemill import schemas
 from stridemill.operators import scoring, selectors, traces
+from stridemill.operators.embedding import embed
 from stridemill.plans import fixtures as fx
 from stridemill.plans import library
 from stridemill.plans.oracle import COST, CTES, pue_sql
 from stridemill.plans.registry import query, r6, rounded
-from stridemill.scale import checkpoint
+from stridemill.scale import checkpoint, checkpoint_dir
+from stridemill.sources import models, records
 
 LEVELS = {"high": 1, "mid": 2, "low": 3}
 
@@ -117,7 +122,7 @@ def retrieve_per_step(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(step_hits(spark, sf).select("task_id", "t", "level_spot", "rank", "skill_id", "score"))
 
 
-@query("I13 E25", f"""SELECT task_id, 'pue' AS retrieval_strategy, (SELECT count(*) FROM heads) AS candidates, sum(n)::BIGINT AS returned,
+@query("I13 E25", f"""SELECT task_id, 'pue' AS retrieval_strategy, (SELECT count(*) FROM heads) AS candidates, sum(n)::BIGINT AS returned, 'high=1,low=3,mid=2' AS limits,
  string_agg(granularity || '=' || n, ',' ORDER BY granularity) AS by_level
  FROM (SELECT task_id, granularity, count(*) AS n FROM ({leveled_sql(pue_sql(), 'sims5', 'task_id')}) GROUP BY ALL) GROUP BY task_id""")
 def retrieval_metadata(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,10 +130,11 @@ def retrieval_metadata(spark: SparkSession, sf: str) -> DataFrame:
     skills = library.build(segs).skills
     asked = traces.online_task_texts(segs)
     found = scoring.retrieve(asked, skills, "pue", level_top_k=LEVELS)
-    meta = scoring.retrieval_metadata(asked, found, skills, "pue")
-    entries = F.transform(F.map_entries("returned_by_level"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    meta = scoring.retrieval_metadata(asked, found, skills, "pue", level_top_k=LEVELS)
+    listed = lambda name: F.transform(F.array_sort(F.map_entries(name)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    entries, limits = listed("returned_by_level"), listed("level_top_k")
     return meta.select("task_id", "retrieval_strategy", F.col("candidate_skill_count").alias("candidates"),
-                       F.col("returned_skill_count").alias("returned"), F.concat_ws(",", entries).alias("by_level"))
+                       F.col("returned_skill_count").alias("returned"), F.concat_ws(",", entries).alias("by_level"), F.concat_ws(",", limits).alias("limits"))
 
 
 @query("E25", "SELECT granularity AS level, count(*) AS returned FROM hits GROUP BY ALL")
@@ -143,10 +149,63 @@ def top_by_support(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.top_by_support(skills, model.members, 5).select("skill_id", "support")
 
 
-@query("F5", "SELECT task_id, 0 AS rank, '' AS skill_id FROM tasks WHERE false")
+@query("F5 I13", "SELECT DISTINCT trajectory_id AS task_id, 'none' AS retrieval_strategy, 0 AS candidates, 0 AS returned FROM segs")
 def retrieve_none(spark: SparkSession, sf: str) -> DataFrame:
-    empty = scoring.no_skills(fx.segments(spark, sf).select(F.col("trajectory_id").alias("task_id")))
-    return rounded(empty.select("task_id", "rank", "skill_id"))
+    """The empty retriever returns no skill, and one metadata row per task."""
+    tasks = fx.segments(spark, sf).select(F.col("trajectory_id").alias("task_id")).distinct()
+    nothing = scoring.no_skills(tasks)
+    meta = scoring.retrieval_metadata(tasks, nothing, nothing, "none")
+    return meta.select("task_id", "retrieval_strategy", F.col("candidate_skill_count").alias("candidates"), F.col("returned_skill_count").alias("returned"))
+
+
+@query("I10 I13", """SELECT task_id, 'embedding_pue_full' AS retrieval_strategy, 'embedding' AS similarity_type, 3 AS returned, sum(c)::BIGINT AS tokens
+FROM tok_text5 GROUP BY task_id""")
+def embedding_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Token usage of embedding retrieval, per task."""
+    segs = fx.segments(spark, sf)
+    skills = library.build(segs).skills
+    asked = checkpoint(embed(traces.online_task_texts(segs), "text"))
+    found = scoring.retrieve(asked, skills, "embedding_pue_full")
+    meta = scoring.retrieval_metadata(asked, found, skills, "embedding_pue_full", usage=asked)
+    return meta.select(
+        "task_id", "retrieval_strategy", F.col("retrieval_similarity_type").alias("similarity_type"),
+        F.col("returned_skill_count").alias("returned"), F.col("embedding_total_tokens").alias("tokens"))
+
+
+@query("A2 A4", f"SELECT task_id, t AS step, level_spot, rank, skill_id, granularity, {r6('score')} FROM hits")
+def hit_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits written as a retrieval log, read back, and joined by an absent log, which is an empty table."""
+    hits = step_hits(spark, sf).withColumn("spot", F.row_number().over(Window.partitionBy("task_id", "t").orderBy("level_spot", "rank")))
+    one = F.struct("spot", F.struct(
+        "skill_id", "granularity", F.struct(F.col("score").alias("retrieval_score"), F.lit("pue").alias("retrieval_strategy")).alias("metadata")).alias("s"))
+    log = hits.groupBy("task_id", F.col("t").alias("step")).agg(
+        F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]).alias("retrieved_skills"))
+    folder = f"{checkpoint_dir(spark)}/hits-{uuid.uuid4().hex}"
+    records.write_jsonl(log, folder)
+    absent = records.read_jsonl_or_empty(spark, f"{folder}-absent", schemas.RETRIEVAL_RECORD).select("task_id", "step")
+    back = records.read_hits(spark, folder).join(absent, ["task_id", "step"], "left_anti")
+    spots = {"high": 0, "mid": 1, "low": 2}
+    spot = F.create_map(*[F.lit(x) for pair in spots.items() for x in pair])[F.col("granularity")]
+    inside = F.row_number().over(Window.partitionBy("task_id", "step", "granularity").orderBy("rank"))
+    return rounded(back.select("task_id", "step", spot.alias("level_spot"), inside.alias("rank"), "skill_id", "granularity", "score"))
+
+
+@query("A5", """SELECT skill_id, granularity, support, support AS members, support AS document_members, (SELECT count(*) FROM segs) + (SELECT count(*) FROM lib) AS nodes FROM lib""")
+def stored_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A model written and read back both as tables and as one document."""
+    model = library.of(spark, sf)
+    folder = f"{checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    models.write_model(model, f"{folder}/tables")
+    tables = models.read_model(spark, f"{folder}/tables")
+    models.write_model_document(tables, f"{folder}/document")
+    document, _ = models.read_model_document(spark, f"{folder}/document")
+    count = lambda rows, name: rows.groupBy("skill_id").agg(F.count(F.lit(1)).alias(name))
+    nodes = document.nodes.agg(F.count(F.lit(1))).scalar()
+    return (
+        document.skills.select("skill_id", "granularity", "support")
+        .join(count(tables.members, "members"), "skill_id").join(count(document.members, "document_members"), "skill_id")
+        .withColumn("nodes", nodes)
+    )
 
 
 @query("E19", """SELECT round(avg(n), 6) + 0.0 AS avg_retrieved_skills FROM (SELECT task_id, t, count(*) AS n FROM hits GROUP BY ALL)""")
