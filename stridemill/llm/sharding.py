@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridemill.scale import checkpoint
+from stridemill.scale import broadcast_if_small, checkpoint
 
 SLOT_ROWS = 200_000
 _STEP = np.uint64(2862933555777941757)
@@ -43,24 +43,31 @@ def shard_segments(segments: DataFrame, shards: int, key: str = "segment_id", sl
     ``key`` and the shard count alone decide ``shard``; ``grown_shard`` is the shard with one more
     shard appended, which takes rows only into itself. ``slot`` counts a shard's rows from 0 without
     gaps: rows are numbered inside buckets of about ``slot_rows`` rows and bucket sizes are summed,
-    so no task sorts a whole shard. Equal keys share a shard; a null key is a key of its own. Rows
-    equal in key and text may swap slots. Other columns are kept; an empty table stays empty.
+    so no task sorts a whole shard. Buckets follow a hash of the whole row, so a key with a third of the rows is
+    spread; rows alike in every column are dealt over buckets when they are more than ``slot_rows``. Equal keys share
+    a shard; a null key is a key of its own. Rows alike in every column may swap slots. Other columns are kept; an
+    empty table stays empty.
     """
-    content = F.xxhash64(*[c for c in ("text",) if c in segments.columns], key)
+    whole = [f.name for f in segments.schema.fields if f.dataType.simpleString().split("<")[0] not in ("map", "variant")]
     placed = checkpoint(
-        segments.withColumn("shard", shard_of(F.col(key), shards))
+        segments.withColumn("_content", F.xxhash64(F.lit("slot"), *whole))
+        .withColumn("shard", shard_of(F.col(key), shards))
         .withColumn("grown_shard", shard_of(F.col(key), shards + 1))
-        .withColumn("_content", content)
+        .withColumn("_row", F.monotonically_increasing_id())
     )
     buckets = max(1, placed.count() // (shards * slot_rows))
-    held = placed.withColumn("_bucket", F.pmod("_content", F.lit(buckets)))
+    # at most one row for every slot_rows rows
+    alike = checkpoint(placed.groupBy("_content").count().filter(F.col("count") > slot_rows).select("_content", F.lit(True).alias("_many")))
+    few, _ = broadcast_if_small(alike, 32)
+    dealt = F.xxhash64("_content", F.when(F.col("_many"), F.col("_row")))
+    held = placed.join(few, "_content", "left").withColumn("_bucket", F.pmod(dealt, F.lit(buckets)))
     sizes = held.groupBy("shard", "_bucket").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("shard", "_bucket").orderBy(key, "_content")
+    inside = Window.partitionBy("shard", "_bucket").orderBy(key, "_content", "_row")
     return (
         held.withColumn("_at", F.row_number().over(inside) - 1)
         .join(offsets, ["shard", "_bucket"])
         .withColumn("slot", F.col("_offset") + F.col("_at"))
-        .drop("_bucket", "_content", "_at", "_offset")
+        .drop("_bucket", "_content", "_at", "_offset", "_row", "_many")
     )

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from stridemill.llm import bpe, chat, html, jaccard, language, mixing, pairs, pii, quality, sharding, tagger, vectors
 
@@ -64,6 +65,9 @@ def test_shards_follow_the_published_loop_and_grow_into_the_new_one(spark):
         assert r.grown_shard in (r.shard, 5)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shard_segments(rows.limit(0), 5).count() == 0
+    hot = segments(spark, ["same"] * 90 + ODD).withColumn("segment_id", F.lit(None).cast("long"))
+    slots = [r.slot for r in sharding.shard_segments(hot, 3, slot_rows=5).collect()]
+    assert sorted(slots) == list(range(90 + len(ODD)))
 
 
 def test_quality_counts_match_loops_over_words_and_lines(spark):
