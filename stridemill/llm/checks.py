@@ -105,4 +105,31 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 FROM d JOIN component USING (r) LEFT JOIN links USING (r)"""
 
 
-ORACLE_SQL = {"op2_chat": chat_sql(), "op4_quality": quality_sql(), "op7_jaccard": jaccard_sql(), "op10_vectors": vectors_sql()}
+def repeats_sql(least: int = 12) -> str:
+    """Every pair of equal words, stretches of pairs equally far apart, and the smallest period of each stretch."""
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+  lambda c: [256 + ascii(c), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]))),
+  lambda a, x: CASE WHEN x >= 256 THEN xor(a, x - 256) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT)"""
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS listed, {crc} AS h FROM documents),
+e AS (SELECT *, len(listed)::BIGINT AS n, h // 10 AS g FROM d),
+f AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM e),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM f),
+w AS MATERIALIZED (
+  SELECT r, n, unnest(range(n)) AS i, unnest(CASE WHEN a IS NULL THEN listed
+    ELSE list_transform(range(n), lambda i: listed[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END) AS word FROM p),
+q AS (SELECT x.r, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+s AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS stretch FROM q),
+t AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY r, q, stretch HAVING count(*) + q >= greatest({least}, 2 * q)),
+run AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM t GROUP BY r, start, length),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM w ANTI JOIN gone USING (r, i) GROUP BY r),
+told AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    arg_max({{'start': start, 'length': length, 'period': period}}, length::HUGEINT * 4611686018427387904 - start) AS best FROM run GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+  1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (r) LEFT JOIN kept USING (r)"""
+
+
+ORACLE_SQL = {"op2_chat": chat_sql(), "op4_quality": quality_sql(), "op7_jaccard": jaccard_sql(), "op10_vectors": vectors_sql(), "op13_repeats": repeats_sql()}
